@@ -1,0 +1,9 @@
+"""All queries over the tables, by name."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
