@@ -95,3 +95,20 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     return source.mapInArrow(row_mapper(make, ("i", "t"), schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """(doc_id, source, ids, n_tokens, decoded_sha256) for each row of docs, in one pass; same rules as encode()."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("decoded_sha256", pa.string())])
+
+    def make():
+        enc = encoding(rank_file, pattern)
+
+        def row(r):
+            ids = encode_text(enc, r[2])
+            return [(r[0], r[1], ids.astype(np.int32), len(ids), hashlib.sha256(decode_ids(enc, ids)).hexdigest())]
+
+        return row
+
+    source = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("s"), F.col("text").cast("string").alias("t"))
+    return source.mapInArrow(row_mapper(make, ("i", "s", "t"), schema), "doc_id long, source string, ids array<int>, n_tokens long, decoded_sha256 string")

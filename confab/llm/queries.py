@@ -3,15 +3,45 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, token_count
+from . import bpe, fingerprint, license_scan, mixing, near_dup, neighbours, quality, suffix_dedup, token_count, toxicity
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start_word", "end_word", "first", F.array_min("first_doc_ids").alias("first_doc_id"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: source and id are taken for one, with a hundred documents to a directory."""
+    i = F.col("doc_id")
+    path = F.concat_ws("/", "source", F.floor(i / 10_000).cast("string"), F.floor(i / 100).cast("string"), i.cast("string"))
+    return license_scan.scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -25,7 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op4_token_counts, op8_bpe_round_trip, op9_mixing, op10_fingerprints]
+    own = [op1_quality, op2_toxicity, op3_nearest, op4_token_counts, op5_repeated_passages, op6_near_duplicates, op7_license_scan, op8_bpe_round_trip, op9_mixing, op10_fingerprints]
     return {f.__name__: f for f in own}
 
 
