@@ -12,7 +12,7 @@ from .common import bounded_sample, stored
 #: SAMPLE vectors; every vector is indexed.
 PIVOTS, POSTED, SAMPLE = 128, 64, 4096
 #: Share of a block's vectors, and least number, whose inner products are computed after ranking by footrule.
-SHARE, LEAST = 0.2, 400
+SHARE, LEAST = 0.2, 1000
 #: Vectors and queries of a block.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -71,7 +71,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     Rows and queries are dealt into blocks of bounded size by a hash of the id, and each block of rows meets each block
     of queries once. A block of rows holds its inverted files; a query opens those of its nearest pivots, ranks by
-    footrule, and has exact products for the best fifth (400 at least). Blocks send k rows a query.
+    footrule, and has exact products for the best fifth of the block's different vectors (1000 at least). Blocks send k rows a query.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or with
     a length other than the most frequent one (the longer of two as frequent). Rows that share an id count as one, the
@@ -108,20 +108,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             left = left.sort_by("i")
             p, p_lift = known.value
             ids, x, q = left.column("i").to_numpy(), _matrix(left), _matrix(right)
+            # Equal vectors are ranked as one; of each the k + 1 smallest ids can be among the k nearest of a query.
+            x, kind = np.unique(x, axis=0, return_inverse=True)
+            kind = kind.ravel()
+            by_kind = np.argsort(kind, kind="stable")
+            place = np.arange(len(kind)) - np.searchsorted(kind[by_kind], kind[by_kind])
+            head = np.sort(by_kind[place <= k])
+            ids, kind = ids[head], kind[head]
             held = Postings(permutations(x, p, raised(x), p_lift, posted), len(p))
             asks = permutations(q, p, np.zeros(len(q)), p_lift, posted)
             most = min(len(x), max(least, int(np.ceil(share * len(x)))) + 1)
             for own, vector, order in zip(right.column("i").to_pylist(), q, asks, strict=True):
-                if most < len(x):
-                    far = held.footrule(order)
-                    near = np.sort(np.argpartition(far, most - 1)[:most])
-                else:
-                    near = np.arange(len(x))
-                near = near[ids[near] != own]
-                s = inner(x[near], vector)
-                first = np.lexsort((ids[near], -s))[:k]
+                near = np.argpartition(held.footrule(order), most - 1)[:most] if most < len(x) else np.arange(len(x))
+                products = np.full(len(x), -np.inf)
+                products[near] = inner(x[near], vector)
+                s = products[kind]
+                rows_near = np.flatnonzero((s > -np.inf) & (ids != own))
+                if len(rows_near) > 4 * k:
+                    cut = np.partition(s[rows_near], len(rows_near) - k)[len(rows_near) - k]
+                    rows_near = rows_near[s[rows_near] >= cut]
+                first = rows_near[np.lexsort((ids[rows_near], -s[rows_near]))[:k]]
                 out[0].append(np.full(len(first), own))
-                out[1].append(ids[near][first])
+                out[1].append(ids[first])
                 out[2].append(s[first])
         columns = [np.concatenate(c) if c else np.empty(0) for c in out]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
