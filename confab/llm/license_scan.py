@@ -79,7 +79,7 @@ class Matcher:
                 self.posted.setdefault(t, []).append((k, x / norm))
 
     def best(self, text: str) -> tuple[float, str]:
-        """Largest cosine and its licence; of equals the first in the order of the templates."""
+        """Largest cosine, to nine decimals, and its licence; of equals the first in the order of the templates."""
         c = Counter(_terms(text))
         if not c:
             return 0.0, ""
@@ -92,7 +92,7 @@ class Matcher:
         if not dots:
             return 0.0, ""
         k = min(dots, key=lambda j: (-round(dots[j], 12), j))
-        return dots[k] / norm, self.names[k]
+        return round(dots[k] / norm, 9), self.names[k]
 
 
 def notices(text: str | None, matcher: Matcher, least: float = LEAST) -> list[tuple[float, str, int]]:
