@@ -42,8 +42,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], most: float) -> DataFram
     whole = Window.partitionBy(F.lit(0))
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     ranked = weighed.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("weight") * F.col("level"))
-    # The first source that is not capped has the level of all that are not.
-    final = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)["level"]
+    # The first source that is not capped has the level of all that are not; those after it find a lower one.
+    final = F.max(F.when(~F.col("capped"), F.col("level"))).over(whole)
     return ranked.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * final).alias("target"))
 
 
