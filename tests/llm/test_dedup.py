@@ -1,0 +1,152 @@
+import random
+
+import numpy as np
+import pytest
+
+from confab.llm import near_dup, queries, suffix_dedup
+from confab.llm.components import connected_components
+from confab.llm.words import Spans, WordHash
+
+from .helpers import WORD, components, docs, repeats, shingles
+
+
+def corpus(seed=0, n=60):
+    """Random texts, near copies in chains and stars, exact copies, short texts, a frequent pair of words."""
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(400)]
+    texts = []
+    for _ in range(n):
+        base = [rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 12, 30, 80, 160]))]
+        if rng.random() < 0.3:
+            base[:0] = ["of", "the"]
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 3, 8])):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(2, len(base) // 14))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append(" ".join(copy))
+            base = copy if rng.random() < 0.4 else base
+    rng.shuffle(texts)
+    return {i * 3: t for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, k, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    texts = corpus()
+    got = near_dup.near_duplicates(docs(spark, list(texts.items())), shingle=k).collect()
+    want = components(texts, k)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(shingles(texts[r.doc_id], k)) for r in got)
+    assert len(set(want.values())) < len(want)
+
+
+def test_a_hub_joins_copies_that_are_not_linked_to_each_other(spark):
+    base = [f"b{k}" for k in range(100)]
+    texts = {0: " ".join(base)}
+    for k in range(1, 12):
+        copy = list(base)
+        for j in range(4):
+            copy[(k * 8 + j * 2) % 100] = f"x{k}.{j}"
+        texts[k] = " ".join(copy)
+    texts = {100 - i: t for i, t in texts.items()}
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, list(texts.items())), shingle=2).collect()}
+    assert got == components(texts, 2)
+
+
+def test_near_duplicate_edge_cases(spark):
+    rows = [(5, None), (6, ""), (7, " \n"), (8, "One"), (9, "one"), (3, "one two"), (4, "ONE\ttwo"), (None, "one two"), (10, "É x"), (11, "é x"), (2, "z " * 40000), (1, "z " * 30000), (12, "a b c"), (12, "a b c"), (13, "a b d")]
+    df = docs(spark, rows).withColumnRenamed("lang", "kept").withColumnRenamed("n_chars", "sig")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df, shingle=2).collect()}
+    assert got == {
+        (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 1, 8, True), (9, 1, 8, False), (3, 1, 3, True), (4, 1, 3, False), (None, 1, None, True),
+        (10, 1, 10, True), (11, 1, 11, True), (2, 1, 1, False), (1, 1, 1, True), (12, 2, 12, True), (13, 2, 13, True),
+    }
+    kept = near_dup.one_of_each(docs(spark, rows), shingle=2).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(map(str, [5, 6, 7, 8, 3, None, 10, 11, 1, 12, 13]))
+    assert near_dup.near_duplicates(docs(spark, rows).limit(0)).collect() == []
+
+
+def test_query_over_the_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {r.doc_id: r.component_id for r in queries.op6_near_duplicates(spark, sf_dir).collect()} == components(texts, 2)
+
+
+def test_estimates_are_close():
+    rng = np.random.default_rng(1)
+    for share in (0.5, 0.8, 0.95):
+        got = []
+        for _ in range(200):
+            pool = rng.integers(0, 2**63, 1000).astype(np.uint64)
+            n = int(1000 * share)
+            a, b = pool[: n + (1000 - n) // 2], np.concatenate([pool[:n], pool[n + (1000 - n) // 2 :]])
+            x, y = (near_dup._filled(np.unique(s)[: near_dup.K].tobytes())[None] for s in (a, b))
+            got.append(near_dup.union_estimates(x, y)[0])
+        assert abs(np.mean(got) - share) < 0.02
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(40)] + [(100, 105), (105, 101), (7, 7), (200, 200)]
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 100, 105: 100, 101: 100}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def passages(seed=3):
+    rng = random.Random(seed)
+    fresh = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    common = [fresh(n) for n in (49, 50, 51, 70, 120, 200)]
+    texts = []
+    for k in range(50):
+        words = fresh(rng.choice([0, 10, 60, 150]))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            p = rng.choice(common)
+            cut = rng.choice([0, 0, 0, 5, 30])
+            words += p[cut : len(p) - rng.choice([0, 0, 7, 40])] + fresh(rng.choice([0, 3, 40]))
+        texts.append(" ".join(words))
+    return {i * 2: t for i, t in enumerate(texts + texts[:5])}
+
+
+@pytest.mark.parametrize(("least", "gram"), [(50, 16), (10, 4)])
+def test_repeats_equal_brute_force(spark, least, gram):
+    texts = passages()
+    got = suffix_dedup.repeated_passages(docs(spark, list(texts.items())), least, gram).collect()
+    want = repeats(texts, least)
+    assert {(r.doc_id, r.start_word, r.end_word, r.first, min(r.first_doc_ids)) for r in got} == want
+    assert len(got) == len(want) > 20
+
+
+def test_repeat_query_over_the_table(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {tuple(r) for r in queries.op5_repeated_passages(spark, sf_dir).collect()} == repeats(texts)
+
+
+def test_repeat_edge_cases(spark):
+    p = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, None), (2, ""), (3, "short"), (4, p), (5, "new  words\n" + p + " tail"), (None, p), (6, "loop " * 200), (7, p), (7, p), (8, "again and " * 60000)]
+    df = docs(spark, rows).withColumnRenamed("lang", "first")
+    got = {tuple(r)[:4] for r in suffix_dedup.repeated_passages(df).collect()}
+    assert got == {(4, 0, 60, True), (5, 2, 62, False), (7, 0, 60, False)}
+    left = {r.doc_id: (r.text, r.n_chars) for r in suffix_dedup.drop_repeats(docs(spark, rows)).collect()}
+    assert left[5] == ("new  words\ntail", 15) and left[4][0] == p and left[None][0] == p and left[1][0] is None and left[2][0] == "" and 7 not in left
+    assert left[6][0] == "loop " * 200
+    assert suffix_dedup.repeated_passages(docs(spark, rows).limit(0)).collect() == []
+
+
+def test_dropping_leaves_one_copy(spark):
+    texts = passages(9)
+    left = {r.doc_id: r.text for r in suffix_dedup.drop_repeats(docs(spark, list(texts.items()))).collect()}
+    gone = {}
+    for i, s, e, first, _ in repeats(texts):
+        if not first:
+            gone.setdefault(i, set()).update(range(s, e))
+    for i, t in texts.items():
+        want = [w for k, w in enumerate(WORD.findall(t)) if k not in gone.get(i, ())]
+        assert WORD.findall(left.get(i, "")) == want
+
+
+def test_span_hashes():
+    words = [b"a", b"b", b"a", b"b", b"a"]
+    s = Spans(words, WordHash())
+    h = lambda i, j: int(s.of(np.array([i]), np.array([j]))[0])
+    assert h(0, 2) == h(2, 4) and h(1, 4) != h(0, 3) and h(0, 3) == h(2, 5) and h(0, 1) != h(0, 3)
