@@ -5,7 +5,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from .words import A, B, WordHash, mix, words_of
 #: up to K shingles are kept whole, and there two neighbours are always shared.
 K = 48
 #: Documents of an inverted list that are compared in one block.
-BLOCK = 512
+BLOCK = 1024
 #: Estimates from the union sketch that far (in their standard deviations) below the threshold are dropped.
 MARGIN = 5.0
 #: Up to this many ids are broadcast (8 MB of longs); more are joined by a shuffle.
@@ -184,51 +183,82 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _pairs_to_compare(pdf: pd.DataFrame, percent: int) -> np.ndarray:
+def _block(table: pa.Table, sets_col: str) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    table = table.combine_chunks()
+    numbers = {c: table.column(c).to_numpy() for c in ("key", "rep", "n", "comp", "own", "p", "q")}
+    return numbers, table.column(sets_col)
+
+
+def _able(sets: list[np.ndarray], comp: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Places of the sets that hold at least ``need`` values which sets of other components hold too. The others have
+    no partner, and without them fewer values are shared, so it is asked again until all that are left hold enough."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    kinds = np.unique(comp, return_inverse=True)[1]
+    left = np.ones(len(sets), bool)
+    while True:
+        live = left[owner]
+        seen = np.unique(at[live] * (kinds.max() + 1) + kinds[owner[live]])
+        spread = np.bincount(seen // (kinds.max() + 1), minlength=len(at))
+        enough = left & (np.bincount(owner[live & (spread[at] > 1)], minlength=len(sets)) >= need)
+        if (enough == left).all() or not enough.any():
+            return np.flatnonzero(enough)
+        left = enough
+
+
+def _pairs_to_compare(x: dict[str, np.ndarray], percent: int) -> np.ndarray:
     """Mask of pairs i < j in different components, from both blocks, whose sizes allow a link."""
-    n, comp, own = pdf["n"].to_numpy(np.int64), pdf["comp"].to_numpy(), pdf["own"].to_numpy()
-    p, q = pdf["p"].iat[0], pdf["q"].iat[0]
+    n, comp, own = x["n"], x["comp"], x["own"]
     mask = np.triu(comp[:, None] != comp[None, :], 1)
     mask &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    if p != q:
+    if len(own) and x["p"][0] != x["q"][0]:
         mask &= own[:, None] != own[None, :]
     return mask
 
 
+def _only(x: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v[at] for k, v in x.items()}
+
+
+_LEFT = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("own", pa.int32()), ("p", pa.int32()), ("q", pa.int32())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _survivors(percent: int):
     """Of one block pair of one list: the documents with a partner that the estimate does not rule out. Pairs are
     looked at only in the first of the lists that they share."""
     least = _least_estimate(percent)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pdf.iloc[:0][["key", "rep", "n", "comp", "own", "p", "q"]]
-        if len(pdf) < 2:
-            return empty
-        pdf = pdf.sort_values(["comp", "rep"], ignore_index=True)
-        mask = _pairs_to_compare(pdf, percent)
-        if not mask.any():
-            return empty
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["sketch"]]
-        shared = _overlaps(sets)
+    def run(table: pa.Table) -> pa.Table:
+        x, raw = _block(table, "sketch")
+        nothing = _LEFT.empty_table()
+        if len(x["n"]) < 2 or (x["comp"] == x["comp"][0]).all():
+            return nothing
+        sets = [np.frombuffer(s, np.uint64) for s in raw.to_pylist()]
+        # Of the union's K least values a share of ``least`` is in both sketches, if the estimate is to pass.
+        able = _able(sets, x["comp"], least * np.array([len(s) for s in sets]) - 1e-9)
+        if len(able) < 2:
+            return nothing
+        x, sets = _only(x, able), [sets[k] for k in able]
         sizes = np.array([len(s) for s in sets])
-        # Of the union's K least values at least this many are in both sketches, if the estimate is to pass.
-        i, j = np.nonzero(mask & (shared >= least * np.minimum(np.maximum(sizes[:, None], sizes[None, :]), K) - 1e-9))
-        hit = np.zeros(len(pdf), bool)
-        filled = np.stack([_filled(s) for s in pdf["sketch"]])
-        keys = np.full((len(sets), K - 1), np.iinfo(np.int64).max)
+        mask = _pairs_to_compare(x, percent)
+        i, j = np.nonzero(mask & (_overlaps(sets) >= least * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9))
+        if not len(i):
+            return nothing
+        hit = np.zeros(len(sets), bool)
+        filled = np.stack([_filled(s) for s in sets])
+        none = np.iinfo(np.int64).max
+        keys = np.full((len(sets), K - 1), none)
         for r, s in enumerate(sets):
-            k = list_keys(s)
-            keys[r, : len(k)] = k
-        here = pdf["key"].iat[0]
+            keys[r, : max(len(s) - 1, 0)] = list_keys(s)
         for at in range(0, len(i), 4096):
-            x, y = i[at : at + 4096], j[at : at + 4096]
-            ok = union_estimates(filled[x], filled[y]) >= least
-            x, y = x[ok], y[ok]
-            both = np.sort(np.concatenate([keys[x], keys[y]], axis=1), axis=1)
-            twice = np.where(both[:, 1:] == both[:, :-1], both[:, 1:], np.iinfo(np.int64).max)
-            first = twice.min(axis=1) == here if len(x) else np.empty(0, bool)
-            hit[x[first]] = hit[y[first]] = True
-        return pdf.loc[hit, empty.columns]
+            a, b = i[at : at + 4096], j[at : at + 4096]
+            ok = union_estimates(filled[a], filled[b]) >= least
+            a, b = a[ok], b[ok]
+            both = np.sort(np.concatenate([keys[a], keys[b]], axis=1), axis=1)
+            first = np.where(both[:, 1:] == both[:, :-1], both[:, 1:], none).min(axis=1, initial=none) == x["key"][0]
+            hit[a[first]] = hit[b[first]] = True
+        return pa.table([pa.array(x[c][hit], t) for c, t in zip(_LEFT.names, _LEFT.types, strict=True)], schema=_LEFT)
 
     return run
 
@@ -236,28 +266,30 @@ def _survivors(percent: int):
 def _block_links(percent: int):
     """Of one block pair of one list: links between components, as few as join what they join."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["comp", "rep"], ignore_index=True)
-        mask = _pairs_to_compare(pdf, percent)
-        out: list[tuple[int, int]] = []
-        if mask.any():
-            sets = [np.frombuffer(s, np.uint64) for s in pdf["members"]]
-            n = pdf["n"].to_numpy(np.int64)
-            i, j = np.nonzero(mask & _links(_overlaps(sets).astype(np.int64), n[:, None], n[None, :], percent))
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (y := root.get(x, x)) != x:
-                    root[x] = root.get(y, y)
-                    x = y
-                return x
-
-            rep, comp = pdf["rep"].tolist(), pdf["comp"].tolist()
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if (u := find(comp[x])) != (v := find(comp[y])):
-                    root[u] = v
-                    out.append((rep[x], rep[y]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def run(table: pa.Table) -> pa.Table:
+        x, raw = _block(table, "members")
+        sets = [np.frombuffer(s, np.uint64) for s in raw.to_pylist()]
+        able = _able(sets, x["comp"], percent / 100 * x["n"] - 1e-9) if len(sets) > 1 else []
+        if len(able) < 2:
+            return _EDGE.empty_table()
+        x, sets = _only(x, able), [sets[k] for k in able]
+        n = x["n"]
+        i, j = np.nonzero(_pairs_to_compare(x, percent) & _links(_overlaps(sets).astype(np.int64), n[:, None], n[None, :], percent))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        rep, comp = x["rep"].tolist(), x["comp"].tolist()
+        out = []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if (u := find(comp[a])) != (v := find(comp[b])):
+                root[u] = v
+                out.append((rep[a], rep[b]))
+        return pa.table([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=_EDGE)
 
     return run
 
@@ -302,10 +334,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_ = stored(_dealt(open_.join(mixed, "key", "left_semi")))
     with_sketch = open_.join(classes.select("rep", "sketch"), "rep")
-    left = with_sketch.groupBy("key", "p", "q").applyInPandas(_survivors(percent), "key long, rep long, n long, comp long, own int, p int, q int")
+    left = with_sketch.groupBy("key", "p", "q").applyInArrow(_survivors(percent), "key long, rep long, n long, comp long, own int, p int, q int")
     left = stored(left)
     sets = _sets(source, left.select(F.col("rep").alias("id")).distinct(), shingle)
-    more = left.join(sets, "rep").groupBy("key", "p", "q").applyInPandas(_block_links(percent), "a long, b long")
+    more = left.join(sets, "rep").groupBy("key", "p", "q").applyInArrow(_block_links(percent), "a long, b long")
     more = stored(more.distinct())
     if not more.isEmpty():
         found = connected_components(linked.union(more))
@@ -320,15 +352,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """The rows of docs that stay, with all their columns: of each component the document with the least id, of rows
     with the same id and text one. Rows with a null id and texts without words stay; see near_duplicates()."""
     found = stored(near_duplicates(docs, shingle, percent).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "kept"))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash")).distinct()
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_confab_g_id"), F.col("text_hash").alias("_confab_g_hash")).distinct()
     few = gone.count() <= BROADCAST_IDS
     here = lambda i, h: (F.col("doc_id") == F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
-    left = docs.join(F.broadcast(gone) if few else gone, here("g_id", "g_hash"), "left_anti")
-    again = found.where("kept").groupBy(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash")).count().where("count > 1").drop("count")
+    left = docs.join(F.broadcast(gone) if few else gone, here("_confab_g_id", "_confab_g_hash"), "left_anti")
+    again = found.where("kept").groupBy(F.col("doc_id").alias("_confab_a_id"), F.col("text_hash").alias("_confab_a_hash")).count().where("count > 1").drop("count")
     again = stored(again)
     if again.isEmpty():
         return left
     few = again.count() <= BROADCAST_IDS
     again = F.broadcast(again) if few else again
-    once = left.join(again, here("a_id", "a_hash"), "left_anti")
-    return once.unionByName(left.join(again, here("a_id", "a_hash"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = left.join(again, here("_confab_a_id", "_confab_a_hash"), "left_anti")
+    return once.unionByName(left.join(again, here("_confab_a_id", "_confab_a_hash"), "left_semi").dropDuplicates(["doc_id", "text"]))
