@@ -66,7 +66,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
     known = known.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = bounded_sample(known, F.col("l_id"), F.lit(1), most, by="y")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = SAMPLE_ROWS) -> boosting.Forest:
