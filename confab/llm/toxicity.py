@@ -19,7 +19,9 @@ from .quality import held_out, training_rows
 #: the training sample; they also bound the tables that are broadcast.
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 4 << 20
 #: Characters of context, and the discount of all orders.
-ORDER, DISCOUNT = 5, 0.75
+ORDER, DISCOUNT = 7, 0.75
+#: Discount of a class's own counts: what it has seen twice only is left to the backoff.
+CLASS_DISCOUNT = 2.0
 #: Sequences of characters seen fewer times are left to the shared backoff.
 LEAST = 2
 #: Words of the windows over which log-likelihoods are compared, besides the whole text.
@@ -42,22 +44,21 @@ def _grams(word: str) -> Iterator[str]:
 
 @dataclass
 class Model:
-    """log p(next | context, toxic) - log p(next | context, ordinary): by sequence, and by context for a next
-    character that neither class has seen there; then weights of the logistic curve over features()."""
+    """log p(next | context, toxic) - log p(next | context, ordinary) by sequence, and the logistic curve over
+    features()."""
 
     by_gram: dict[str, float]
-    by_context: dict[str, float]
     weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
 
 
-def count_models(words: tuple[Counter, Counter]) -> tuple[dict[str, float], dict[str, float]]:
-    """Tables of log-likelihood ratios from the words of ordinary (0) and toxic (1) texts.
+def count_models(words: tuple[Counter, Counter]) -> dict[str, float]:
+    """Log-likelihood ratios of sequences from the words of ordinary (0) and toxic (1) texts.
 
     Each class has its own counts of the longest sequences. Both back off, with absolute discounting, to one shared
-    distribution of continuations, itself interpolated down the orders from counts of distinct left neighbours; so a
-    sequence too rare to tell weighs the same for both classes.
+    distribution of continuations, itself interpolated down the orders from counts of distinct left neighbours in both
+    classes; so a sequence too rare to tell weighs the same for both, and one that neither has seen has no ratio.
     """
     grams: tuple[Counter, Counter] = (Counter(), Counter())
     for c in (0, 1):
@@ -74,7 +75,7 @@ def count_models(words: tuple[Counter, Counter]) -> tuple[dict[str, float], dict
             if len(g) > 1:
                 left[g[1:]] += 1
                 shorter.add(g[1:])
-        current = shorter - {g for g in shorter if len(g) < 1}
+        current = shorter
     total: dict[str, int] = defaultdict(int)
     kinds: dict[str, int] = defaultdict(int)
     for g, n in left.items():
@@ -91,35 +92,30 @@ def count_models(words: tuple[Counter, Counter]) -> tuple[dict[str, float], dict
         return got
 
     n_ctx: tuple[dict, dict] = (defaultdict(int), defaultdict(int))
-    t_ctx: tuple[dict, dict] = (defaultdict(int), defaultdict(int))
+    spare: tuple[dict, dict] = (defaultdict(float), defaultdict(float))
     for c in (0, 1):
         for g in seen:
             if n := grams[c][g]:
                 n_ctx[c][g[:-1]] += n
-                t_ctx[c][g[:-1]] += 1
+                spare[c][g[:-1]] += min(n, CLASS_DISCOUNT)
 
     def likelihood(c: int, g: str, below: float) -> float:
-        n = n_ctx[c].get(g[:-1], 0)
-        return (max(grams[c][g] - DISCOUNT, 0) + DISCOUNT * t_ctx[c][g[:-1]] * below) / n if n else below
+        x = g[:-1]
+        return (max(grams[c][g] - CLASS_DISCOUNT, 0) + spare[c][x] * below) / n_ctx[c][x] if x in n_ctx[c] else below
 
-    by_gram = {g: math.log(likelihood(1, g, b) / likelihood(0, g, b)) for g in seen for b in (shared(g[1:]),)}
-    spare = lambda c, x: DISCOUNT * t_ctx[c][x] / n_ctx[c][x] if x in n_ctx[c] else 1.0
-    by_context = {x: math.log(spare(1, x) / spare(0, x)) for x in set(n_ctx[0]) | set(n_ctx[1])}
-    return {g: v for g, v in by_gram.items()}, by_context
+    return {g: math.log(likelihood(1, g, below) / likelihood(0, g, below)) for g in seen for below in (shared(g[1:]),)}
 
 
 class WordRatios(dict):
     """Log-likelihood ratio of a word, toxic over ordinary, kept while there is room."""
 
-    def __init__(self, by_gram: dict[str, float], by_context: dict[str, float]):
+    def __init__(self, by_gram: dict[str, float]):
         super().__init__()
-        self.by_gram, self.by_context = by_gram, by_context
+        self.by_gram = by_gram
 
     def __missing__(self, word: str) -> float:
-        got, gram, context = 0.0, self.by_gram.get, self.by_context.get
-        for g in _grams(normal(word)):
-            v = gram(g)
-            got += context(g[:-1], 0.0) if v is None else v
+        ratio = self.by_gram.get
+        got = sum(ratio(g, 0.0) for g in _grams(normal(word)))
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
@@ -133,18 +129,20 @@ N_FEATURES = 5 + len(WINDOWS)
 
 def features(text: str | None, ratios: WordRatios) -> list[float]:
     """Length-normalised log-likelihood ratios of a whole text: of all its words, of its most toxic windows, and of its
-    three most toxic words. Text without words gives zeros."""
+    three most toxic different words. Text without words gives zeros."""
     words = (text or "").split()
     if not words:
         return [0.0] * N_FEATURES
     r = np.fromiter(map(ratios.__getitem__, words), np.float64, len(words))
     r = np.clip(r, -12, 12)
     sums = np.concatenate([[0.0], np.cumsum(r)])
-    out = [float(r.mean()), float(np.maximum(r - 2, 0).sum() / len(r) ** 0.5)]
+    kinds = set(words)
+    each = np.clip(np.fromiter(map(ratios.__getitem__, kinds), np.float64, len(kinds)), -12, 12)
+    out = [float(r.mean()), float(np.maximum(each - 2, 0).sum() / len(each) ** 0.5)]
     for w in WINDOWS:
         k = min(w, len(r))
         out.append(float((sums[k:] - sums[:-k]).max() / w))
-    top = np.sort(np.partition(r, max(len(r) - 3, 0))[-3:])[::-1]
+    top = np.sort(np.partition(each, max(len(each) - 3, 0))[-3:])[::-1]
     top = np.concatenate([top, np.zeros(3 - len(top))])
     return [*out, *top.tolist()]
 
@@ -169,9 +167,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def _words(texts: list[str]) -> Counter:
+    """Words and the number of different words that stand before them, over all texts: a word that one text repeats,
+    or that stands in copies of one text, is no evidence about a class."""
+    seen: set[int] = set()
     raw: Counter = Counter()
     for t in texts:
-        raw.update((t or "").split())
+        words = (t or "").split()
+        for pair in zip(["", *words], words, strict=False):
+            if (h := hash(pair)) not in seen:
+                seen.add(h)
+                raw[pair[1]] += 1
     out: Counter = Counter()
     for w, n in raw.items():
         if k := normal(w):
@@ -186,14 +191,13 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     x, y = [], []
     for half in (0, 1):
         other = [r for k, r in enumerate(rows) if k % 2 != half]
-        tables = count_models(tuple(_words([t for _, t, c in other if c == k]) for k in (0, 1)))  # type: ignore[arg-type]
-        ratios = WordRatios(*tables)
+        ratios = WordRatios(count_models(tuple(_words([t for _, t, c in other if c == k]) for k in (0, 1))))  # type: ignore[arg-type]
         for _, t, c in rows[half::2]:
             x.append(features(t, ratios))
             y.append(c)
     weights, mean, scale = fit_logistic(np.array(x, float).reshape(len(x), N_FEATURES), np.array(y, float))
-    by_gram, by_context = count_models(tuple(_words([t for _, t, c in rows if c == k]) for k in (0, 1)))  # type: ignore[arg-type]
-    return Model(by_gram, by_context, weights, mean, scale)
+    by_gram = count_models(tuple(_words([t for _, t, c in rows if c == k]) for k in (0, 1)))  # type: ignore[arg-type]
+    return Model(by_gram, weights, mean, scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
@@ -210,7 +214,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        ratios = WordRatios(m.by_gram, m.by_context)
+        ratios = WordRatios(m.by_gram)
         for batch in it:
             got = [(i, features(t, ratios)) for i, t in rows_of(batch, "i", "t")]
             if got:

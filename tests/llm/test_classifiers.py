@@ -93,18 +93,15 @@ def test_models_share_their_backoff():
     from collections import Counter
 
     words = (Counter({"^table$": 50, "^chair$": 30}), Counter({"^table$": 50, "^chair$": 30, "^awful$": 20}))
-    r = toxicity.WordRatios(*toxicity.count_models(words))
+    r = toxicity.WordRatios(toxicity.count_models(words))
     assert abs(r["table"]) < 0.5 and r["awful"] > 2 and r["awfully"] > 1 and r["zzz"] == pytest.approx(r["zzz"])
     assert r["Awful!"] == pytest.approx(r["awful"])
     assert r["..."] == 0.0 and r[""] == 0.0
 
 
-def test_likelihoods_sum_to_one():
-    """The shared distribution and each class's model over it are distributions."""
+def test_equal_classes_have_no_ratio():
     from collections import Counter
 
     words = (Counter({"^abc$": 5, "^abd$": 4, "^b$": 3}), Counter({"^abc$": 2, "^ae$": 6}))
-    by_gram, by_context = toxicity.count_models(words)
-    assert all(np.isfinite(list(by_gram.values()))) and all(np.isfinite(list(by_context.values())))
-    same = toxicity.count_models((words[0], words[0]))
-    assert max(map(abs, same[0].values())) < 1e-12 and max(map(abs, same[1].values())) < 1e-12
+    assert all(np.isfinite(list(toxicity.count_models(words).values())))
+    assert max(map(abs, toxicity.count_models((words[0], words[0])).values())) < 1e-12
