@@ -31,3 +31,13 @@ def without_ids(held: Column) -> Column:
 def data_url(content: Column, media_type: Column) -> Column:
     """The content itself as a URL; null content gives null."""
     return F.concat(F.lit("data:"), media_type, F.lit(";base64,"), F.replace(F.replace(F.base64(content), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("")))
+
+
+def with_ids(new: Column) -> Column:
+    """New ones with a random id each; not repeatable, so store the result before it is read twice."""
+    return F.transform(new, lambda x: x.withField("id", F.uuid()))
+
+
+def pasted(items: Column) -> Column:
+    """Of clipboard items those of kind ``file``."""
+    return F.filter(items, lambda x: x["kind"] == "file")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 def owner_list(records: DataFrame, owner: str, created: str, key: str) -> DataFrame:
     """records with their position in their owner's list: newest first, ties by key."""
     order = Window.partitionBy(owner).orderBy(F.col(created).desc(), F.col(key).asc())
-    return records.withColumn("position", F.row_number().over(order))
+    return records.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def owned_by(records: DataFrame, owner_col: str, owner: Column) -> DataFrame:

@@ -33,6 +33,23 @@ def decision(path: Column, signed_in: Column) -> Column:
     return F.when(~eligible(path), None).when(into, "redirect:/chat").when(~is_public(path) & ~signed_in, "protect").otherwise("pass")
 
 
+def landing(path: Column) -> Column:
+    """The path that is served: the root leads to the sign-in page."""
+    return F.when(path == "/", F.lit("/signin")).otherwise(path)
+
+
+def route_map(key: str, value: str, rows=ROUTES) -> Column:
+    """map<key, value> over the routes by two of key, title and url; of equal keys the last wins."""
+    at = {"key": 0, "title": 1, "url": 2}
+    pairs = {r[at[key]]: r[at[value]] for r in rows}
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def merged(first: Column, then: Column) -> Column:
+    """Both maps; where both have a key, the second's value."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(then, k)), then)
+
+
 def titles(requests: DataFrame, routes: DataFrame, path: str = "path") -> DataFrame:
     """requests with the title of their path, null if unknown. The route table is a fixed few rows."""
     named = routes.select(F.col("url").alias("_url"), "title")

@@ -46,6 +46,11 @@ def log_lines(priced: DataFrame) -> DataFrame:
     return priced.withColumn("line", line)
 
 
+def cache_writes(usage: DataFrame, column: str = "cache_write_tokens") -> DataFrame:
+    """usage with the line that reports tokens written to the cache. They are reported, not part of the cost."""
+    return usage.withColumn("cache_line", F.concat(F.lit("cache write: "), F.coalesce(F.col(column).cast("string"), F.lit("0"))))
+
+
 def suspicious(usage: DataFrame) -> DataFrame:
     """Rows with more cached than total tokens."""
     return usage.where(F.coalesce("cached_tokens", F.lit(0)) > F.coalesce("input_tokens", F.lit(0)))

@@ -9,6 +9,16 @@ from confab.functions.text import length_utf16, trim
 TITLE_REQUIRED, TITLE_LONG, CONTENT_REQUIRED = "Title is required", "Title could not be longer than 100 symbols", "Message content is required"
 
 
+#: Values of closed sets. Fixed values.
+ROLES = ("user", "assistant", "system")
+STATUSES = ("submitted", "streaming", "ready", "error")
+
+
+def one_of(value: Column, allowed: tuple[str, ...]) -> Column:
+    """Null is not one of them."""
+    return F.coalesce(value.isin(*allowed), F.lit(False))
+
+
 def title_error(title: Column) -> Column:
     n = length_utf16(trim(title))
     return F.when(title.isNull() | (n < 1), TITLE_REQUIRED).when(n > 100, TITLE_LONG)

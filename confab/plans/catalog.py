@@ -213,6 +213,23 @@ def route_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.menu(_requests(spark, sf_dir), routes.route_table(spark)).select("page_id", "entry", "url", "active")
 
 
+@_query(f"""
+SELECT page_id, CASE WHEN path = '/' THEN '/signin' ELSE path END AS landing, CASE CASE WHEN path = '/' THEN '/signin' ELSE path END WHEN '/signin' THEN 'Sign In' WHEN '/signup' THEN 'Sign Up' WHEN '/chat' THEN 'Chat' END AS title,
+       CASE CASE WHEN path = '/' THEN '/signin' ELSE path END WHEN '/signin' THEN '/signin' WHEN '/signup' THEN '/signup' WHEN '/chat' THEN '/chat' END AS back FROM ({_REQUEST_SQL})
+""")
+def route_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by path and paths by title, through maps."""
+    landing = routes.landing(F.col("path"))
+    title = F.try_element_at(routes.route_map("url", "title"), landing)
+    return _requests(spark, sf_dir).select("page_id", landing.alias("landing"), title.alias("title"), F.try_element_at(routes.route_map("title", "url"), title).alias("back"))
+
+
+@_query("SELECT conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant', 'system')) AS known, count(*) FILTER (WHERE length(trim(text)) = 0) AS blank FROM conversations GROUP BY conv_id")
+def message_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.parquet(spark, sf_dir, "conversations")
+    return rows.groupBy("conv_id").agg(F.count_if(validation.one_of(F.col("role"), validation.ROLES)).alias("known"), F.count_if(validation.blank(F.col("text"))).alias("blank"))
+
+
 @_query("""
 WITH base AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS content, c_nationkey AS owner FROM customer
               UNION ALL SELECT -n_nationkey - 1, n_name, '', n_nationkey FROM nation),

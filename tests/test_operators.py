@@ -169,3 +169,25 @@ def test_partitioning_does_not_change_results(spark):
     df = spark.createDataFrame([(k % 5, k, "user", f"t{k}") for k in range(60)], "conv_id long, turn long, role string, text string")
     a = messages.transcripts(df.coalesce(1)).orderBy("conv_id").collect()
     assert a == messages.transcripts(df.repartition(9)).orderBy("conv_id").collect()
+
+
+def test_route_maps(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(routes.route_map("title", "url")) == {"Sign In": "/signin", "Sign Up": "/signup", "Chat": "/chat"}
+    twice = [("a", "T", "/1", True), ("b", "T", "/2", True)]
+    assert one(routes.route_map("title", "url", twice)) == {"T": "/2"}
+    assert one(routes.merged(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3)))) == {"a": 1, "b": 3}
+    assert one(routes.landing(F.lit("/"))) == "/signin" and one(routes.landing(F.lit("/x"))) == "/x"
+
+
+def test_closed_sets_and_pastes(spark):
+    df = spark.createDataFrame([("user",), ("bot",), (None,)], "r string")
+    assert [r.x for r in df.select(validation.one_of(F.col("r"), validation.ROLES).alias("x")).collect()] == [True, False, False]
+    items = spark.createDataFrame([([("file", "a"), ("string", "b")],)], "i array<struct<kind:string,name:string>>")
+    got = items.select(attachments.with_ids(attachments.pasted(F.col("i"))).alias("x")).first().x
+    assert [x.name for x in got] == ["a"] and len(got[0].id) == 36
+
+
+def test_cache_writes_are_not_costed(spark):
+    df = spark.createDataFrame([(7,), (None,)], "cache_write_tokens long")
+    assert [r.cache_line for r in usage.cache_writes(df).collect()] == ["cache write: 7", "cache write: 0"]
