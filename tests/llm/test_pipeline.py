@@ -81,6 +81,18 @@ def test_empty_and_odd_documents(spark, tmp_path):
         assert df.count() == (0 if k else df.where("n_tokens > 0").count())
 
 
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df = docs(spark, [(k, f"good words number {k} here and there " * 9 if k % 2 else "bad!! " * 40) for k in range(60)])
+    for name in ("i", "t", "y", "size", "u", "q", "copies", "target", "share", "sig", "kept", "key", "rep", "comp", "start", "first", "text_hash", "l_id", "whole_row"):
+        df = df.withColumn(name, F.lit("x"))
+    columns = df.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        df = stored(stage(spark, df, str(tmp_path)))
+        assert df.columns == columns or k == 4
+    assert df.count() > 0
+
+
 def test_samples_keep_their_bound(spark):
     df = spark.range(5000).select(F.col("id"), (F.col("id") % 7 + 1).alias("w"), (F.col("id") % 2).alias("g"))
     got = bounded_sample(df, F.col("id"), F.col("w"), 900, by="g").groupBy("g").agg(F.sum("w").alias("s")).collect()
