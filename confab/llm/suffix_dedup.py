@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_mapper, stored
-from .near_dup import BROADCAST_IDS
 from .words import Spans, WordHash, words_of
 
 #: Words of the grams among which the minimiser of a window of ``least`` words is chosen.
@@ -63,9 +62,7 @@ def _suffix_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
 def _window_table(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """(gram, context, k, window): the hash of window k of each wanted suffix (doc_id, at array<struct<gram, context,
     start, windows>>), from the document's text."""
-    few = wanted.count() <= BROADCAST_IDS // 50
-    right = wanted.withColumnRenamed("doc_id", "i")
-    rows = docs.join(F.broadcast(right) if few else right, "i").select("t", "at")
+    rows = docs.join(wanted.withColumnRenamed("doc_id", "i"), "i").select("t", "at")
     schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("k", pa.int32()), ("window", pa.int64())])
 
     def make():
@@ -171,21 +168,20 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = GRAM) -> DataFram
     """docs without the passages that an earlier document holds too; n_chars follows. A document of which nothing
     is left goes; one without repeats stays as it is, also with a null id or text."""
     gone = repeated_passages(docs, least, gram).where("NOT first")
-    gone = stored(gone.groupBy(F.col("doc_id").alias("g_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("g_spans")))
-    few = gone.count() <= BROADCAST_IDS // 50
-    rows = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("g_id"), "left").drop("g_id")
+    gone = stored(gone.groupBy(F.col("doc_id").alias("_confab_g_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("_confab_g_spans")))
+    rows = docs.join(gone, F.col("doc_id") == F.col("_confab_g_id"), "left").drop("_confab_g_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             where = batch.schema.get_field_index("text")
             texts = batch.column(where).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("g_spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index("_confab_g_spans")).to_pylist()
             keep = []
             for k, (t, x) in enumerate(zip(texts, spans, strict=True)):
                 if x and t:
                     texts[k] = cut_words(t, [(y["s"], y["e"]) for y in x])
                 keep.append(not x or bool(texts[k] and texts[k].strip()))
-            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names if n != "g_spans"}
+            columns = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names if n != "_confab_g_spans"}
             columns["text"] = pa.array(texts, batch.schema.field(where).type)
             if "n_chars" in columns:
                 old = columns["n_chars"].to_pylist()
