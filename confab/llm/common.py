@@ -28,10 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written as Parquet to the shared folder and read again: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/confab-{uuid.uuid4().hex}"
+    """The rows of df, written as Parquet to the shared folder and read again: lineage ends here. The files go when
+    the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/confab-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
