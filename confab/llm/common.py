@@ -21,9 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a local one only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="confab-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="confab-"))
+        named = context._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
 
 
