@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, stored
 
-#: Pivots, and how many of its nearest a vector is posted under. The pivots come from a sample of at most
-#: SAMPLE vectors; every vector is indexed.
-PIVOTS, POSTED, SAMPLE = 128, 64, 4096
+#: Pivots, under how many of its nearest a vector is posted, and the files of how many of its nearest a query opens.
+PIVOTS, POSTED, OPENED = 256, 32, 16
+#: The pivots come from a sample of at most SAMPLE vectors, no two of them nearer in direction than this cosine, so
+#: that many near copies of one vector do not become many equal pivots. Every vector is indexed.
+SAMPLE, APART = 4096, 0.9
 #: Share of a block's vectors, and least number, whose inner products are computed after ranking by footrule.
-SHARE, LEAST = 0.2, 1000
+SHARE, LEAST = 0.15, 1000
 #: Vectors and queries of a block.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 512
 
@@ -23,33 +25,49 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def permutations(vectors: np.ndarray, pivots: np.ndarray, lift: np.ndarray, pivot_lift: np.ndarray, posted: int) -> np.ndarray:
-    """The nearest pivots of each vector, nearest first. ``lift`` is one more coordinate that brings all vectors to one
-    norm, so that the largest inner product becomes the least distance; a query's is 0."""
+def chosen_pivots(sample: np.ndarray, most: int, seed: int) -> np.ndarray:
+    """Different vectors of the sample, in random order, that are APART from those before them."""
+    sample = np.unique(sample, axis=0)
+    sample = sample[np.random.default_rng(seed).permutation(len(sample))]
+    ways = sample / np.linalg.norm(sample, axis=1)[:, None]
+    taken: list[int] = []
+    for k in range(len(sample)):
+        if len(taken) < most and (not taken or (ways[taken] @ ways[k]).max() < APART):
+            taken.append(k)
+    return sample[taken]
+
+
+def orders(vectors: np.ndarray, pivots: np.ndarray, lift: np.ndarray, pivot_lift: np.ndarray) -> np.ndarray:
+    """The pivots of each vector, nearest first. ``lift`` is one more coordinate that brings all vectors to one norm, so
+    that the largest inner product becomes the least distance; a query's is 0."""
     near = vectors @ pivots.T + lift[:, None] * pivot_lift[None, :]
-    return np.argsort(-near, axis=1, kind="stable")[:, :posted]
+    return np.argsort(-near, axis=1, kind="stable")
+
+
+def places(order: np.ndarray) -> np.ndarray:
+    """The place of each pivot in the orders."""
+    out = np.empty(order.shape, np.int16)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
+    return out
 
 
 class Postings:
-    """Inverted files of one block: for each pivot the vectors posted under it and the pivot's place with them."""
-
-    def __init__(self, perms: np.ndarray, pivots: int):
-        self.n, self.posted = perms.shape
-        flat = perms.ravel()
-        order = np.argsort(flat, kind="stable")
-        ends = np.searchsorted(flat[order], np.arange(pivots + 1))
-        rows, places = order // self.posted, (order % self.posted).astype(np.int32)
-        self.lists = [(rows[a:b], places[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-    def footrule(self, query: np.ndarray) -> np.ndarray:
-        """Spearman's footrule of the query's order of pivots to that of each vector; a pivot that is not among the
-        first ``posted`` stands at the place after them."""
-        k = self.posted
-        out = np.full(self.n, k * (k + 1), np.int32)
-        for place, pivot in enumerate(query.tolist()):
-            rows, places = self.lists[pivot]
-            out[rows] += np.abs(places - place) - (k - place) - (k - places)
-        return out
+    """Inverted files of one block: for each pivot the vectors that have it among their nearest ``posted``."""
+
+    def __init__(self, order: np.ndarray, posted: int):
+        self.places = places(order)
+        self.files = [np.flatnonzero(self.places[:, p] < posted) for p in range(order.shape[1])]
+
+    def candidates(self, order: np.ndarray, opened: int) -> np.ndarray:
+        """Vectors in the files of the first ``opened`` pivots of a query."""
+        hit = np.zeros(len(self.places), bool)
+        for pivot in order[:opened].tolist():
+            hit[self.files[pivot]] = True
+        return np.flatnonzero(hit)
+
+    def footrule(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Spearman's footrule: the sum over the pivots of how far their places in two orders are apart."""
+        return np.abs(self.places[rows] - query).sum(axis=1, dtype=np.int32)
 
 
 def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -70,8 +88,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     first, ties to the smaller id; its own row does not count. Fewer than k others: all of them.
 
     Rows and queries are dealt into blocks of bounded size by a hash of the id, and each block of rows meets each block
-    of queries once. A block of rows holds its inverted files; a query opens those of its nearest pivots, ranks by
-    footrule, and has exact products for the best fifth of the block's different vectors (1000 at least). Blocks send k rows a query.
+    of queries once. A block of rows holds its inverted files; a query opens those of its nearest pivots, ranks what
+    it finds there by footrule, and has exact products for the best 15 % of the block's different vectors (1000 at
+    least). Blocks send k rows a query.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or with
     a length other than the most frequent one (the longer of two as frequent). Rows that share an id count as one, the
@@ -90,9 +109,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == best.width)
     sample = bounded_sample(rows, F.concat_ws(" ", F.lit(seed), F.col("i")), F.lit(1), SAMPLE).orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(4 * PIVOTS).select("v").collect()
-    pivots = np.unique(np.array([r.v for r in sample]), axis=0)
-    pivots = pivots[np.random.default_rng(seed).permutation(len(pivots))[:PIVOTS]]
-    posted, top, share, least = min(POSTED, len(pivots)), best.norm, SHARE, LEAST
+    pivots = chosen_pivots(np.array([r.v for r in sample]), PIVOTS, seed)
+    top, share, least = best.norm, SHARE, LEAST
+    posted, opened = POSTED, OPENED
     raised = lambda x: np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))
     known = spark.sparkContext.broadcast((pivots, raised(pivots)))
 
@@ -115,11 +134,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             place = np.arange(len(kind)) - np.searchsorted(kind[by_kind], kind[by_kind])
             head = np.sort(by_kind[place <= k])
             ids, kind = ids[head], kind[head]
-            held = Postings(permutations(x, p, raised(x), p_lift, posted), len(p))
-            asks = permutations(q, p, np.zeros(len(q)), p_lift, posted)
-            most = min(len(x), max(least, int(np.ceil(share * len(x)))) + 1)
-            for own, vector, order in zip(right.column("i").to_pylist(), q, asks, strict=True):
-                near = np.argpartition(held.footrule(order), most - 1)[:most] if most < len(x) else np.arange(len(x))
+            asks = orders(q, p, np.zeros(len(q)), p_lift)
+            held, asked_at = Postings(orders(x, p, raised(x), p_lift), posted), places(asks)
+            most = max(least, int(np.ceil(share * len(x))))
+            for own, vector, order, at in zip(right.column("i").to_pylist(), q, asks, asked_at, strict=True):
+                near = held.candidates(order, opened) if most < len(x) else np.arange(len(x))
+                if most < len(near):
+                    near = near[np.argpartition(held.footrule(near, at), most - 1)[:most]]
                 products = np.full(len(x), -np.inf)
                 products[near] = inner(x[near], vector)
                 s = products[kind]

@@ -74,11 +74,19 @@ def test_many_copies_of_one_vector(spark):
 
 def test_footrule_equals_its_definition():
     rng = np.random.default_rng(6)
-    perms = np.array([rng.permutation(12)[:5] for _ in range(40)])
-    held = neighbours.Postings(perms, 12)
+    order = np.array([rng.permutation(12) for _ in range(40)])
+    held = neighbours.Postings(order, 5)
+    rows = np.arange(0, 40, 3)
+    for q in order[:5]:
+        want = [sum(abs(list(q).index(x) - list(order[r]).index(x)) for x in range(12)) for r in rows]
+        assert held.footrule(rows, neighbours.places(q[None])[0]).tolist() == want
+        assert held.candidates(q, 3).tolist() == [r for r in range(40) if set(q[:3]) & set(order[r][:5])]
 
-    def place(p, x):
-        return list(p).index(x) if x in p else 5
 
-    for q in perms[:5]:
-        assert held.footrule(q).tolist() == [sum(abs(place(q, x) - place(p, x)) for x in range(12)) for p in perms]
+def test_pivots_are_apart():
+    rng = np.random.default_rng(7)
+    one = rng.normal(size=8)
+    sample = np.concatenate([one + 0.01 * rng.normal(size=(300, 8)), rng.normal(size=(100, 8))])
+    got = neighbours.chosen_pivots(sample, 64, 1)
+    ways = got / np.linalg.norm(got, axis=1)[:, None]
+    assert 20 < len(got) <= 64 and (ways @ ways.T - 2 * np.eye(len(got))).max() < 0.9
