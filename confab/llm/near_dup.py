@@ -320,7 +320,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = stored(classes)
     posted = postings(classes)
-    lead = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep", "n"))
+    # The least hash of an id, so that the lists of similar documents choose few members between them.
+    lead = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n"))
     lists = posted.groupBy("key").agg(F.count("*").alias("cnt"), lead.alias("lead")).where("cnt > 1")
     members = stored(posted.join(lists.select("key", "cnt", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "key"))
 
