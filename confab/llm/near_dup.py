@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_mapper, stored
+from .common import lean, row_mapper, stored
 from .components import connected_components
 from .words import A, B, WordHash, mix, words_of
 
@@ -21,7 +21,7 @@ K = 48
 BLOCK = 1024
 #: Estimates from the union sketch that far (in their standard deviations) below the threshold are dropped.
 MARGIN = 5.0
-#: Up to this many ids are broadcast (8 MB of longs); more are joined by a shuffle.
+#: Up to this many ids or keys are broadcast (8 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -108,6 +108,7 @@ def _likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     rows = edges.join(side("a"), "a").join(side("b"), "b")
     least = _least_estimate(percent)
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 2048):
@@ -175,7 +176,7 @@ def _incidence(sets: list[np.ndarray]) -> np.ndarray:
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs; the values are taken a slab at a time."""
     total = np.zeros((len(sets), len(sets)), np.float32)
-    slabs = max(1, sum(map(len, sets)) * len(sets) // 60_000_000)
+    slabs = max(1, sum(map(len, sets)) * len(sets) // 16_000_000)
     for k in range(slabs):
         part = sets if slabs == 1 else [s[s % np.uint64(slabs) == k] for s in sets]
         m = _incidence(part)
@@ -333,7 +334,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # Lists of two have been compared already.
     open_ = _labelled(members.where("cnt > 2").select("key", "rep", "n", "cnt"), found)
     mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = stored(_dealt(open_.join(mixed, "key", "left_semi")))
+    mixed = stored(mixed)
+    few = mixed.count() <= BROADCAST_IDS
+    open_ = stored(_dealt(open_.join(F.broadcast(mixed) if few else mixed, "key", "left_semi")))
     with_sketch = open_.join(classes.select("rep", "sketch"), "rep")
     left = with_sketch.groupBy("key", "p", "q").applyInArrow(_survivors(percent), "key long, rep long, n long, comp long, own int, p int, q int")
     left = stored(left)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import bounded_sample, row_mapper, rows_of
+from .common import bounded_sample, lean, row_mapper, rows_of
 
 #: Labelled rows of each class from which the trees are grown, at most. Documented bound of the training sample.
 SAMPLE_ROWS = 8_000
@@ -84,6 +84,7 @@ def score(docs: DataFrame, forest: boosting.Forest, id_col: str = "doc_id", text
     repeated rows give repeated rows; other columns are not read. No shuffle."""
     known = docs.sparkSession.sparkContext.broadcast(forest)
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             got = [(i, statistics(t)) for i, t in rows_of(batch, "i", "t")]
@@ -99,6 +100,7 @@ def keep_good(docs: DataFrame, forest: boosting.Forest, least: float = 0.5) -> D
     """The rows of docs whose text scores ``least`` or more, with all their columns, in one pass."""
     known = docs.sparkSession.sparkContext.broadcast(forest)
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:

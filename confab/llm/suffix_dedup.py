@@ -10,7 +10,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_mapper, stored
+from .common import lean, row_mapper, stored
 from .words import Spans, WordHash, words_of
 
 #: Words of the grams among which the minimiser of a window of ``least`` words is chosen.
@@ -45,6 +45,7 @@ def _suffix_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """(gram, context, doc_id, start, windows) of all documents, about two suffixes in (least - gram + 2) words."""
     schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in it:
@@ -171,6 +172,7 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = GRAM) -> DataFram
     gone = stored(gone.groupBy(F.col("doc_id").alias("_confab_g_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("_confab_g_spans")))
     rows = docs.join(gone, F.col("doc_id") == F.col("_confab_g_id"), "left").drop("_confab_g_id")
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             where = batch.schema.get_field_index("text")

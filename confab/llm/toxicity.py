@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, rows_of
+from .common import bounded_sample, lean, rows_of
 from .quality import held_out, training_rows
 
 #: Labelled rows and bytes of text of each class from which the models are counted, at most. Documented bounds of
@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     null; repeated rows give repeated rows; other columns are not read. No shuffle."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         ratios = WordRatios(m.by_gram)

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers.
-CACHE = 1_000_000
+CACHE = 200_000
 A, B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
