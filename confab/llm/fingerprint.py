@@ -1,15 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins of a fingerprint. Each weighted term falls in one bin; the bin keeps one consistent sample.
 BINS = 128
 #: A term's weight is cut into parts of at most this much, so that a heavy term does not weigh in one bin only.
 PART = 2
-#: Ranges of document ids between which whole texts are dealt out to find each one's neighbour.
-RANGES = 512
+#: Ranges of document ids between which whole texts are dealt out to find each one's neighbour: one for so many rows,
+#: so that a range's size does not follow the table's, at least and at most so many.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 2000, 512, 1 << 16
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -93,14 +94,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumn("fingerprint", as_text(F.col("sig")))
 
 
-def _bounds(spark: SparkSession, ids: DataFrame, ranges: int) -> list[int]:
-    """Ids that cut the table into about equal ranges: at most ``ranges`` of them, whatever its size."""
+def _bounds(ids: DataFrame, ranges: int | None) -> list[int]:
+    """Ids that cut the table into about equal ranges: MOST_RANGES of them at most, whatever its size."""
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, ids.count() // RANGE_ROWS))
     at = [k / ranges for k in range(1, ranges)]
-    got = ids.agg(F.percentile_approx("d", at, 10_000).alias("p")).first().p or []
+    got = ids.agg(F.percentile_approx("d", at, max(10_000, 2 * ranges)).alias("p")).first().p or []
     return sorted(set(got))
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def _place(bounds: list[int], d: Column) -> Column:
+    """Number of bounds that are d or less, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    n = len(bounds)
+    forward = lambda at, step: F.when((at + step <= n) & (F.get(cuts, at + step - 1) <= d), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), forward)
+
+
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """(doc_id, text, sig, next_text, next_sig): with each row the text and signature of the next one by descending
     id, with the last those of the first. Signatures are made once, after the texts have been dealt out.
 
@@ -112,12 +125,11 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(d.alias("d"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    bounds = _bounds(spark, rows.select("d"), ranges)
-    cuts = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
+    bounds = _bounds(rows.select("d"), ranges)
     # Range 0 holds the largest ids.
-    rows = rows.withColumn("k", F.lit(len(bounds)) - F.size(F.filter(cuts, lambda c: c <= F.col("d"))))
+    rows = rows.withColumn("k", F.lit(len(bounds)) - _place(bounds, F.col("d")))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # At most RANGES rows: the first of each range.
+    # One row a range: its first.
     firsts = sorted((r.k, r.d, r.h) for r in rows.select("k", "d", "h").groupBy("k").agg(F.max(F.struct("d", F.negative(F.col("h").cast("decimal(20,0)")).alias("o"), "h")).alias("m")).select("k", "m.d", "m.h").collect())
     if not firsts:
         return rows.select("doc_id", "text", signature(F.col("text")).alias("sig"), F.lit("").alias("next_text"), signature(F.col("text")).alias("next_sig"))
@@ -131,7 +143,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return near.where("guest = 0").select("doc_id", "text", "sig", "next_text", "next_sig")
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Each row's fingerprint beside that of its edited text and of the next document.
 
     The edited text: the last floor(n_chars / 3) code points replaced by as many (or all) of the first of the next
