@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from confab.functions.text import split_list, trim
 
+#: What each code tells. Fixed values.
 MESSAGES = {
     "accept": "No files match the accepted types.",
     "max_file_size": "All files exceed the maximum size.",

@@ -14,6 +14,8 @@ _NAMES = {"pi": math.pi, "e": math.e}
 _FUNCTIONS = {f: getattr(math, f) for f in ("sqrt", "sin", "cos", "tan", "asin", "acos", "atan", "exp", "log10", "log2", "floor", "ceil")} | {"abs": abs, "log": math.log}
 #: Longest expression and largest exponent that are evaluated.
 LONGEST, LARGEST = 1000, 1000
+#: What a failing tool tells; the first two have the input between. Fixed values.
+NOT_MATH, NO_PLACE, NO_SERVICE = ("Couldn't evaluate \"", '". Is it valid math?'), ("Couldn't find \"", '". Check the spelling?'), "Weather service is unavailable right now."
 
 
 def _value(node: ast.AST) -> float:
@@ -60,7 +62,7 @@ def calculated(rows: DataFrame, expression: str = "expression") -> DataFrame:
     def valid(x: pd.Series) -> pd.Series:
         return x.map(lambda e: calculate(e) is not None)
 
-    told = F.concat(F.lit("Couldn't evaluate \""), F.coalesce(F.col(expression), F.lit("")), F.lit('". Is it valid math?'))
+    told = F.concat(F.lit(NOT_MATH[0]), F.coalesce(F.col(expression), F.lit("")), F.lit(NOT_MATH[1]))
     out = rows.withColumn("_ok", valid(F.col(expression)))
     return out.withColumn("result", F.when(F.col("_ok"), value(F.col(expression)))).withColumn("error", F.when(~F.col("_ok"), told)).drop("_ok")
 
@@ -72,7 +74,7 @@ def enriched(requests: DataFrame, places: DataFrame, weather: DataFrame, locatio
     first = first.select(F.col("name").alias("_name"), F.col("p.place_id").alias("_place"), F.col("p.country").alias("_country"))
     now = weather.select(F.col("place_id").alias("_at"), "temperature", F.col("code").alias("weather_code"))
     rows = requests.join(first, F.col(location) == F.col("_name"), "left").join(now, F.col("_place") == F.col("_at"), "left")
-    error = F.when(F.col("_name").isNull(), F.concat(F.lit("Couldn't find \""), F.col(location), F.lit('". Check the spelling?'))).when(F.col("_at").isNull(), "Weather service is unavailable right now.")
+    error = F.when(F.col("_name").isNull(), F.concat(F.lit(NO_PLACE[0]), F.col(location), F.lit(NO_PLACE[1]))).when(F.col("_at").isNull(), NO_SERVICE)
     place = F.when(F.col("_at").isNotNull(), F.concat(F.col("_name"), F.lit(", "), F.col("_country")))
     return rows.withColumn("place", place).withColumn("unit", F.when(F.col("_at").isNotNull(), F.lit("°C"))).withColumn("error", error).drop("_name", "_place", "_country", "_at")
 

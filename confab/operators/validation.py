@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from confab.functions.text import length_utf16, trim
 
+#: What a failing field tells. Fixed values.
 TITLE_REQUIRED, TITLE_LONG, CONTENT_REQUIRED = "Title is required", "Title could not be longer than 100 symbols", "Message content is required"
 
 
