@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_mapper
+from .common import row_mapper, stored
 
 #: Notices by which licences are told: identifier, then short notices in their usual words. Fixed values.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -152,7 +152,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
         return row
 
     own = source.mapInArrow(row_mapper(make, ("i", "t", "path"), schema), "doc_id long, path string, own_licence string, score double, n_notices int, is_file boolean")
-    own = own.withColumn("dir", directory(F.col("path")))
+    own = stored(own.withColumn("dir", directory(F.col("path"))))
     rank = F.struct(F.negative("score").alias("s"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "own_licence")
     held = own.where("is_file AND dir IS NOT NULL").groupBy(F.col("dir").alias("above")).agg(F.min(rank)["own_licence"].alias("dir_licence"))
     dirs = own.where("own_licence IS NULL AND dir IS NOT NULL").select("dir").distinct()
