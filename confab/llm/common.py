@@ -41,11 +41,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Deals rows out evenly when df has fewer partitions than the session's shuffles."""
-    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def bounded_sample(df: DataFrame, key: Column, size: Column, most: int, by: str | None = None) -> DataFrame:
     """Rows of whole hash buckets, taken in order while the sum of ``size`` stays within ``most``
     (for each value of ``by``, if given). The bound is strict: a bucket that does not fit is left out."""
