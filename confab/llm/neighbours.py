@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, stored
 
-#: Pivots, under how many of its nearest a vector is posted, and the files of how many of its nearest a query opens.
-PIVOTS, POSTED, OPENED = 256, 32, 16
+#: Pivots, under how many of its nearest a vector is posted, and the files of how many of its nearest a query opens at
+#: least. Where norms differ, a query's order (its lift is 0) and its neighbours' orders differ, so it opens many, and
+#: goes on until it has found ENOUGH times as many vectors as are then ranked exactly.
+PIVOTS, POSTED, OPENED, ENOUGH = 256, 32, 64, 2
 #: The pivots come from a sample of at most SAMPLE vectors, no two of them nearer in direction than this cosine, so
 #: that many near copies of one vector do not become many equal pivots. Every vector is indexed.
 SAMPLE, APART = 4096, 0.9
@@ -58,10 +60,13 @@ class Postings:
         self.places = places(order)
         self.files = [np.flatnonzero(self.places[:, p] < posted) for p in range(order.shape[1])]
 
-    def candidates(self, order: np.ndarray, opened: int) -> np.ndarray:
-        """Vectors in the files of the first ``opened`` pivots of a query."""
+    def candidates(self, order: np.ndarray, opened: int, enough: int = 0) -> np.ndarray:
+        """Vectors in the files of the first ``opened`` pivots of a query, and of those after them while fewer than
+        ``enough`` are found."""
         hit = np.zeros(len(self.places), bool)
-        for pivot in order[:opened].tolist():
+        for k, pivot in enumerate(order.tolist()):
+            if k >= opened and hit.sum() >= enough:
+                break
             hit[self.files[pivot]] = True
         return np.flatnonzero(hit)
 
@@ -111,7 +116,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sample = bounded_sample(rows, F.concat_ws(" ", F.lit(seed), F.col("i")), F.lit(1), SAMPLE).orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(4 * PIVOTS).select("v").collect()
     pivots = chosen_pivots(np.array([r.v for r in sample]), PIVOTS, seed)
     top, share, least = best.norm, SHARE, LEAST
-    posted, opened = POSTED, OPENED
+    posted, opened, enough = POSTED, OPENED, ENOUGH
     raised = lambda x: np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))
     known = spark.sparkContext.broadcast((pivots, raised(pivots)))
 
@@ -138,7 +143,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             held, asked_at = Postings(orders(x, p, raised(x), p_lift), posted), places(asks)
             most = max(least, int(np.ceil(share * len(x))))
             for own, vector, order, at in zip(right.column("i").to_pylist(), q, asks, asked_at, strict=True):
-                near = held.candidates(order, opened) if most < len(x) else np.arange(len(x))
+                near = held.candidates(order, opened, enough * most) if most < len(x) else np.arange(len(x))
                 if most < len(near):
                     near = near[np.argpartition(held.footrule(near, at), most - 1)[:most]]
                 products = np.full(len(x), -np.inf)

@@ -90,3 +90,24 @@ def test_pivots_are_apart():
     got = neighbours.chosen_pivots(sample, 64, 1)
     ways = got / np.linalg.norm(got, axis=1)[:, None]
     assert 20 < len(got) <= 64 and (ways @ ways.T - 2 * np.eye(len(got))).max() < 0.9
+
+
+def recall(spark, v):
+    """Of every 200th row's 20 nearest, the share found with the parameters as they are."""
+    v = v.astype(np.float32).astype(float)
+    got = neighbours.nearest(frame(spark, list(enumerate(v.tolist()))), F.col("vec_id") % 200 == 0).toPandas()
+    found = []
+    for i, g in got.groupby("query_id"):
+        s = v @ v[i]
+        s[i] = -np.inf
+        found.append(len(set(np.argsort(-s)[:20]) & set(g.vec_id)) / 20)
+    assert len(found) == -(-len(v) // 200)
+    return np.mean(found)
+
+
+@pytest.mark.parametrize("sigma", [0.3, 0.5, 1.0])
+def test_recall_with_unequal_norms(spark, sigma):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(8192, 64))
+    v *= (rng.lognormal(0, sigma, 8192) / np.linalg.norm(v, axis=1))[:, None]
+    assert recall(spark, v) >= 0.95
