@@ -12,9 +12,10 @@ from .common import bounded_sample, stored
 #: least. Where norms differ, a query's order (its lift is 0) and its neighbours' orders differ, so it opens many, and
 #: goes on until it has found ENOUGH times as many vectors as are then ranked exactly.
 PIVOTS, POSTED, OPENED, ENOUGH = 256, 32, 64, 2
-#: The pivots come from a sample of at most SAMPLE vectors, no two of them nearer in direction than this cosine, so
-#: that many near copies of one vector do not become many equal pivots. Every vector is indexed.
-SAMPLE, APART = 4096, 0.9
+#: The pivots come from a sample of at most SAMPLE vectors, at first no two of them nearer in direction than this cosine,
+#: so that many near copies of one vector do not become many equal pivots. While fewer than PIVOTS are taken, the least
+#: distance from 1 is halved, HALVINGS times, and at last any different vectors are taken. Every vector is indexed.
+SAMPLE, APART, HALVINGS = 4096, 0.9, 12
 #: Share of a block's vectors, and least number, whose inner products are computed after ranking by footrule.
 SHARE, LEAST = 0.15, 1000
 #: Vectors and queries of a block.
@@ -28,14 +29,19 @@ def usable(vector: Column) -> Column:
 
 
 def chosen_pivots(sample: np.ndarray, most: int, seed: int) -> np.ndarray:
-    """Different vectors of the sample, in random order, that are APART from those before them."""
+    """Different vectors of the sample, in random order, that are APART from those before them; while those are fewer
+    than ``most``, also nearer ones, the bar coming down step by step."""
     sample = np.unique(sample, axis=0)
     sample = sample[np.random.default_rng(seed).permutation(len(sample))]
     ways = sample / np.linalg.norm(sample, axis=1)[:, None]
     taken: list[int] = []
-    for k in range(len(sample)):
-        if len(taken) < most and (not taken or (ways[taken] @ ways[k]).max() < APART):
-            taken.append(k)
+    nearest = np.full(len(sample), -np.inf)
+    for apart in [*(1 - (1 - APART) / 2**k for k in range(HALVINGS + 1)), np.inf]:
+        for k in range(len(sample)):
+            if len(taken) < most and nearest[k] < apart:
+                taken.append(k)
+                np.maximum(nearest, ways @ ways[k], out=nearest)
+                nearest[k] = np.inf
     return sample[taken]
 
 

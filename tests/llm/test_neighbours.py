@@ -111,3 +111,20 @@ def test_recall_with_unequal_norms(spark, sigma):
     v = rng.normal(size=(8192, 64))
     v *= (rng.lognormal(0, sigma, 8192) / np.linalg.norm(v, axis=1))[:, None]
     assert recall(spark, v) >= 0.95
+
+
+@pytest.mark.parametrize("strength", [3.5, 5, 20])
+def test_recall_with_a_common_mean(spark, strength):
+    rng = np.random.default_rng(12)
+    mean = rng.normal(size=64)
+    v = rng.normal(size=(8192, 64)) + strength * 8 * mean / np.linalg.norm(mean)
+    assert len(neighbours.chosen_pivots(v[:1024], 256, 7)) == 256
+    assert recall(spark, v) >= 0.95
+
+
+def test_pivots_fill_up_with_different_vectors_only():
+    one = np.random.default_rng(13).normal(size=8)
+    scaled = np.array([one * (1 + k % 50) for k in range(200)])
+    got = neighbours.chosen_pivots(scaled, 64, 1)
+    assert len(got) == 50 and len(np.unique(got, axis=0)) == 50
+    assert len(neighbours.chosen_pivots(np.array([one] * 9), 64, 1)) == 1
