@@ -1,9 +1,12 @@
-"""Licence scans: TF-IDF cosine of notices to templates, then inheritance from the nearest directory above."""
+"""Licence scans: TF-IDF cosine of notices and whole texts to templates, then inheritance from the nearest directory above."""
 from __future__ import annotations
 
+import functools
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +35,37 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
@@ -53,8 +86,23 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: A notice holds at least one of these words.
 _SIGN = re.compile(r"licen[cs]|redistribution|permission|copyright|free software|public domain|\bcc0\b|\bcc[ -]by\b", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
+_TOKEN = re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 #: Least cosine of a notice to a template, and share of a text's words in notices that makes it a licence file.
 LEAST, FILE_SHARE = 0.6, 0.5
+#: Least cosine of a whole text to a full licence text that makes it a licence file. A text with fewer than a half or
+#: more than twice the words of a full text is not compared with it.
+FULL_LEAST, FULL_LENGTH = 0.8, 2.0
+#: Windows whose cosines a task remembers; notices recur.
+CACHE = 1 << 15
+
+
+def full_texts() -> dict[str, tuple[str, ...]]:
+    """Full licence texts by identifier, from the folder beside this module. That of AGPL-3.0 is made from GPL-3.0,
+    from which it differs by its name and one section."""
+    texts = {p.stem: (p.read_text(encoding="utf-8"),) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+    gpl = texts["GPL-3.0"][0]
+    texts["AGPL-3.0"] = (gpl.replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General Public", "GNU Affero General Public"),)
+    return texts
 
 
 def _terms(text: str) -> list[str]:
@@ -77,6 +125,13 @@ class Matcher:
             norm = math.sqrt(sum(x * x for x in w.values()))
             for t, x in w.items():
                 self.posted.setdefault(t, []).append((k, x / norm))
+        #: Numbers of words of the templates, and by sign word where it stands in a template of how many words.
+        self.lengths = [len(_TERM.findall(t.lower())) for ts in templates.values() for t in ts]
+        self.anchors: dict[str, set[tuple[int, int]]] = {}
+        for t in (t for ts in templates.values() for t in ts):
+            starts, _ = _tokens(t)
+            for m in _SIGN.finditer(t):
+                self.anchors.setdefault(m.group().lower(), set()).add((bisect_right(starts, m.start()) - 1, len(starts)))
 
     def best(self, text: str) -> tuple[float, str]:
         """Largest cosine, to nine decimals, and its licence; of equals the first in the order of the templates."""
@@ -95,27 +150,69 @@ class Matcher:
         return round(dots[k] / norm, 9), self.names[k]
 
 
-def notices(text: str | None, matcher: Matcher, least: float = LEAST) -> list[tuple[float, str, int]]:
-    """(cosine, licence, words) of the notices of a whole text: lines with a sign word, each alone and joined with the
-    lines after it up to a blank one (eight at most, the length of the longest header here); the better counts."""
+def _tokens(text: str) -> tuple[list[int], list[int]]:
+    """Where the words of a text start and end."""
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    return [x for x, _ in spans], [y for _, y in spans]
+
+
+def remembered(matcher: Matcher):
+    """matcher.best with a bounded memory."""
+    return functools.lru_cache(CACHE)(matcher.best)
+
+
+def notices(text: str | None, matcher: Matcher, least: float = LEAST, best=None) -> list[tuple[float, str, int]]:
+    """(cosine, licence, words) of the notices of a whole text, in order; no two share a word. Windows are lines with a
+    sign word, each alone and joined with the lines after it up to a blank one (eight at most, the length of the longest
+    header here), and, wherever lines break, the words about a sign word that stand where a template with this word has
+    its own. Of windows that overlap the better counts."""
     if not text or not _SIGN.search(text):
         return []
-    lines, out = text.split("\n"), []
+    best = best or matcher.best
+    lines, at, found = text.split("\n"), 0, set()
     for i, line in enumerate(lines):
-        if not _SIGN.search(line):
-            continue
-        best = (0.0, "", 0)
-        joined = ""
-        for j in range(i, min(i + 8, len(lines))):
-            if not lines[j].strip():
-                break
-            joined = f"{joined} {lines[j]}" if joined else lines[j]
-            score, name = matcher.best(joined)
-            if score > best[0]:
-                best = (score, name, len(joined.split()))
-        if best[0] >= least:
-            out.append(best)
-    return out
+        if _SIGN.search(line):
+            top = (0.0, "", 0, 0)
+            end = at - 1
+            joined = ""
+            for j in range(i, min(i + 8, len(lines))):
+                if not lines[j].strip():
+                    break
+                joined = f"{joined} {lines[j]}" if joined else lines[j]
+                end += len(lines[j]) + 1
+                score, name = best(joined)
+                if score > top[0]:
+                    top = (score, name, at, end)
+            if top[0] >= least:
+                found.add(top)
+        at += len(line) + 1
+    starts, ends = _tokens(text)
+    words = [text[a:b].lower() for a, b in zip(starts, ends, strict=True)]
+    for m in _SIGN.finditer(text):
+        here = bisect_right(starts, m.start()) - 1
+        for offset, length in matcher.anchors.get(m.group().lower(), ()) if here >= 0 else ():
+            a, b = max(here - offset, 0), min(here - offset + length, len(words))
+            score, name = best(" ".join(words[a:b]))
+            if score >= least:
+                found.add((score, name, starts[a], ends[b - 1]))
+    # Windows taken so far, by start; none overlap, so a new one can only meet those beside its place.
+    taken: list[tuple[int, int, float, str]] = []
+    for score, name, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[3], f[2])):
+        k = bisect_right(taken, (a, b, 2.0, ""))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            taken.insert(k, (a, b, score, name))
+    return [(score, name, len(text[a:b].split())) for a, b, score, name in taken]
+
+
+def whole(text: str | None, full: Matcher) -> tuple[float, str]:
+    """Cosine and licence of a text that is one full licence text, else (0.0, "")."""
+    if not text or not _SIGN.search(text):
+        return 0.0, ""
+    n = len(_TERM.findall(text.lower()))
+    if not any(x / FULL_LENGTH <= n <= x * FULL_LENGTH for x in full.lengths):
+        return 0.0, ""
+    score, name = full.best(text)
+    return (score, name) if score >= FULL_LEAST else (0.0, "")
 
 
 def directory(path: Column) -> Column:
@@ -126,8 +223,9 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", least: float = LEAST) -> DataFrame:
     """(doc_id, path, own_licence, score, n_notices, licence, from_dir) for each row.
 
-    own_licence: the best notice of the whole text, null without one. A text of which half the words or more are
-    notices is a licence file and holds for its directory; of several in one directory the one with the higher score
+    own_licence: the licence whose full text the whole text is, else the best notice of it, null without one; score is
+    that cosine. A full text, or a text of which half the words or more are notices, is a licence file and holds for its
+    directory; of several in one directory the one with the higher score
     (then the smaller id) does. licence: the own one, else that of the nearest directory at or above the file's that
     has a licence file; from_dir: that directory, null for own ones. Only distinct directories and their ancestors are
     joined, so a directory with very many files costs one row there.
@@ -138,11 +236,17 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     source = files.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(path_col).cast("string").alias("path"))
     schema = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("own_licence", pa.string()), ("score", pa.float64()), ("n_notices", pa.int32()), ("is_file", pa.bool_())])
 
+    known = files.sparkSession.sparkContext.broadcast((Matcher(), Matcher(full_texts())))
+
     def make():
-        matcher = Matcher()
+        matcher, full = known.value
+        best = remembered(matcher)
 
         def row(r):
-            found = notices(r[1], matcher, least)
+            found = notices(r[1], matcher, least, best)
+            score, name = whole(r[1], full)
+            if name:
+                return [(r[0], r[2], name, score, len(found), True)]
             if not found:
                 return [(r[0], r[2], None, 0.0, 0, False)]
             score, name, _ = max(found, key=lambda x: x[0])

@@ -63,3 +63,29 @@ def test_over_the_table(spark, sf_dir):
     assert all((got[i] in w) if w else got[i] is None for i, w in want.items()) and any(want.values())
     none = docs(spark, ["x"])
     assert license_scan.scan(none.withColumnRenamed("source", "path")).first().licence is None
+
+
+def test_full_texts_are_licence_files(spark):
+    full = license_scan.full_texts()
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC"} <= set(full)
+    files, want = [], {}
+    for k, (name, (t,)) in enumerate(full.items()):
+        # as it is, on one line, and under a head of its own
+        for j, text in enumerate([t, " ".join(t.split()), f"{name} licence\n\nCopyright (c) 2021 Some Person and others\n\n{t}"]):
+            files += [(2 * (3 * k + j), text, f"p{k}_{j}/LICENSE"), (2 * (3 * k + j) + 1, "code", f"p{k}_{j}/src/a.py")]
+            want[2 * (3 * k + j)] = want[2 * (3 * k + j) + 1] = name
+    rows = license_scan.scan(spark.createDataFrame(files, "doc_id long, text string, path string")).collect()
+    assert {r.doc_id: r.licence for r in rows} == want
+    code = "int main(void) { return 0; }\n" * 200
+    got = license_scan.scan(spark.createDataFrame([(1, full["MIT"][0] + code, "LICENSE"), (2, "x", "a")], "doc_id long, text string, path string")).collect()
+    assert {r.doc_id: r.licence for r in got} == {1: "MIT", 2: None}
+
+
+def test_notices_amid_words():
+    m = license_scan.Matcher()
+    for name, ts in license_scan.TEMPLATES.items():
+        for t in ts:
+            text = f"some quite ordinary words before {t.rstrip('.')} and many more ordinary words after it follow on one line"
+            assert [(n, round(s, 3)) for s, n, _ in license_scan.notices(text, m)] == [(name, 1.0)], t
+    both = " ".join(["word"] * 30 + ["Released under the MIT License."] + ["word"] * 30 + ["Licensed under the Apache License, Version 2.0."] + ["word"] * 30)
+    assert [(n, k) for _, n, k in license_scan.notices(both, m)] == [("MIT", 5), ("Apache-2.0", 7)]
