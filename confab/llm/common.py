@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a hash of the row id from which bounded samples are put together.
-SAMPLE_BUCKETS = 4096
+#: Buckets of a hash of the row id from which bounded samples are put together, by bits; a bucket too large for what is
+#: missing is parted by the next bits, while more than SAMPLE_SLACK of the bound is missing.
+SAMPLE_BITS, SAMPLE_SLACK = 12, 0.05
+SAMPLE_BUCKETS = 1 << SAMPLE_BITS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,21 +45,33 @@ def stored(df: DataFrame) -> DataFrame:
 
 def bounded_sample(df: DataFrame, key: Column, size: Column, most: int, by: str | None = None) -> DataFrame:
     """Rows of whole hash buckets, taken in order while the sum of ``size`` stays within ``most``
-    (for each value of ``by``, if given). The bound is strict: a bucket that does not fit is left out."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(SAMPLE_BUCKETS))
+    (for each value of ``by``, if given). The bound is strict: a bucket that does not fit is left out. Where that leaves
+    much of the bound open, as in large tables, the smallest bucket left out is parted by further bits of the hash, so
+    the sample is about full at every size, unless single rows exceed the rest."""
+    h = F.xxhash64(key)
     group = F.col(by).cast("string") if by else F.lit("")
-    sums = df.groupBy(group.alias("g"), bucket.alias("b")).agg(F.sum(size).alias("s")).collect()
     left: dict[str, int] = {}
-    taken: dict[str, list[int]] = {}
-    for r in sorted(sums, key=lambda r: (r.g or "", r.b)):
-        room = left.setdefault(r.g, most)
-        if (r.s or 0) <= room:
-            left[r.g] = room - (r.s or 0)
-            taken.setdefault(r.g, []).append(r.b)
+    inside: dict[str, Column] = {}
     chosen = F.lit(False)
-    for g, buckets in taken.items():
-        same = group.eqNullSafe(F.lit(g))
-        chosen = chosen | (same if len(buckets) == SAMPLE_BUCKETS else same & bucket.isin(buckets))
+    for level in range(64 // SAMPLE_BITS):
+        bucket = F.shiftrightunsigned(h, SAMPLE_BITS * level).bitwiseAND(F.lit(SAMPLE_BUCKETS - 1))
+        rows = df.where(functools.reduce(Column.__or__, inside.values())) if level else df
+        sums = rows.groupBy(group.alias("g"), bucket.alias("b")).agg(F.sum(size).alias("s"), (F.min(h) < F.max(h)).alias("parts")).collect()
+        taken: dict[str, list[int]] = {}
+        refused: dict[str, list[tuple[int, int]]] = {}
+        for r in sorted(sums, key=lambda r: (r.g or "", r.b)):
+            room = left.setdefault(r.g, most)
+            if (r.s or 0) <= room:
+                left[r.g] = room - (r.s or 0)
+                taken.setdefault(r.g, []).append(r.b)
+            elif r.parts:
+                refused.setdefault(r.g, []).append((r.s, r.b))
+        for g, buckets in taken.items():
+            same = inside[g] if level else group.eqNullSafe(F.lit(g))
+            chosen = chosen | (same if len(buckets) == SAMPLE_BUCKETS else same & bucket.isin(buckets))
+        inside = {g: (inside[g] if level else group.eqNullSafe(F.lit(g))) & (bucket == min(found)[1]) for g, found in refused.items() if left[g] > SAMPLE_SLACK * most}
+        if not inside:
+            break
     return df.where(chosen)
 
 

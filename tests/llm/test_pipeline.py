@@ -99,3 +99,13 @@ def test_samples_keep_their_bound(spark):
     assert len(got) == 2 and all(700 < r.s <= 900 for r in got)
     assert bounded_sample(df, F.col("id"), F.col("w"), 10**9).count() == 5000
     assert bounded_sample(df.where("id < 1"), F.col("id"), F.lit(10), 5).count() == 0
+
+
+def test_bounded_samples_are_full_at_every_size(spark):
+    # no bucket of the first level is within the bound: about 98, 49 and 49 rows each
+    df = spark.range(400_000).withColumn("g", F.col("id") % 2)
+    assert 47 <= bounded_sample(df, F.col("id"), F.lit(1), 50).count() <= 50
+    got = [r["count"] for r in bounded_sample(df, F.col("id"), F.lit(1), 20, by="g").groupBy("g").count().collect()]
+    assert len(got) == 2 and all(19 <= n <= 20 for n in got)
+    copies = spark.range(400_000).withColumn("id", F.lit(3))
+    assert bounded_sample(copies, F.col("id"), F.lit(1), 50).count() == 0
