@@ -26,15 +26,27 @@ CLASS_DISCOUNT = 2.0
 LEAST = 2
 #: Words of the windows over which log-likelihoods are compared, besides the whole text.
 WINDOWS = (4, 16, 64)
+#: Words of more characters than LONG, as in text without white space, are read as pieces of PIECE characters. A piece
+#: begins ORDER characters before the last one's end, so every sequence of a context and a character is in one of them.
+LONG, PIECE = 64, 24
 #: A worker's memory of words.
 CACHE = 400_000
 _OUTER = re.compile(r"^\W+|\W+$")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Words of a whole text, long ones in pieces that overlap."""
+    words = (text or "").split()
+    if not any(len(w) > LONG for w in words):
+        return words
+    step = PIECE - ORDER
+    return [p for w in words for p in ([w[k : k + PIECE] for k in range(0, len(w) - ORDER, step)] if len(w) > LONG else (w,))]
+
+
 def normal(word: str) -> str:
     """Lower case, without marks at the ends; ^ and $ stand for the ends."""
     w = _OUTER.sub("", word.lower())
-    return f"^{w[:64]}$" if w else ""
+    return f"^{w}$" if w else ""
 
 
 def _grams(word: str) -> Iterator[str]:
@@ -118,8 +130,7 @@ class WordRatios(dict):
         got = sum(ratio(g, 0.0) for g in _grams(normal(word)))
         if len(self) >= CACHE:
             self.clear()
-        if len(word) <= 64:
-            self[word] = got
+        self[word] = got
         return got
 
 
@@ -130,7 +141,7 @@ N_FEATURES = 5 + len(WINDOWS)
 def features(text: str | None, ratios: WordRatios) -> list[float]:
     """Length-normalised log-likelihood ratios of a whole text: of all its words, of its most toxic windows, and of its
     three most toxic different words. Text without words gives zeros."""
-    words = (text or "").split()
+    words = words_of(text)
     if not words:
         return [0.0] * N_FEATURES
     r = np.fromiter(map(ratios.__getitem__, words), np.float64, len(words))
@@ -172,7 +183,7 @@ def _words(texts: list[str]) -> Counter:
     seen: set[int] = set()
     raw: Counter = Counter()
     for t in texts:
-        words = (t or "").split()
+        words = words_of(t)
         for pair in zip(["", *words], words, strict=False):
             if (h := hash(pair)) not in seen:
                 seen.add(h)

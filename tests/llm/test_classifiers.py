@@ -105,3 +105,25 @@ def test_equal_classes_have_no_ratio():
     words = (Counter({"^abc$": 5, "^abd$": 4, "^b$": 3}), Counter({"^abc$": 2, "^ae$": 6}))
     assert all(np.isfinite(list(toxicity.count_models(words).values())))
     assert max(map(abs, toxicity.count_models((words[0], words[0])).values())) < 1e-12
+
+
+def test_long_words_are_read_whole():
+    rng = random.Random(3)
+    step = toxicity.PIECE - toxicity.ORDER
+    for n in (64, 65, 66, 81, 82, 83, 1000):
+        w = "".join(rng.choice("abcdefgh") for _ in range(n))
+        got = toxicity.words_of(f"x {w} y")[1:-1]
+        assert got == [w] if n <= toxicity.LONG else w == got[0] + "".join(p[toxicity.ORDER :] for p in got[1:]) and len(got) == -(-(n - toxicity.ORDER) // step)
+    signs = [chr(0x4E00 + k) for k in range(300)]
+    plain = lambda n: "".join(rng.choices(signs, k=n))
+    bad = "笨蛋快滚开去死吧"
+    text = lambda toxic: plain(rng.randint(70, 250)) + (bad * 2 if toxic else plain(16)) + plain(60)
+    model = toxicity.fit([(k, text(k // 2 % 2), k // 2 % 2) for k in range(200)])
+    ratios = toxicity.WordRatios(model.by_gram)
+
+    def scored(t):
+        x = (np.array(toxicity.features(t, ratios)) - model.mean) / model.scale
+        return 1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1])))
+
+    hit, false = ([scored(text(toxic)) > 0.7 for _ in range(100)] for toxic in (True, False))
+    assert np.mean(hit) >= 0.6 and np.mean(false) <= 0.2
