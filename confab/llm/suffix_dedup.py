@@ -85,7 +85,8 @@ def repeated_windows(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """(doc_id, start, end, first_doc): word spans [start, end) whose windows of ``least`` words all stand in other
     documents too, with the least document that holds them; spans of one document may touch or overlap.
 
-    Suffixes are ordered by gram and context. Where all suffixes of a gram have the same context, the context repeats
+    Suffixes are grouped by hashes of gram and context, which replaces a suffix array: nothing is sorted and no neighbours
+    are compared. Where all suffixes of a gram have the same context, the context repeats
     as a whole or not at all. Elsewhere one suffix of each context is extended word by word: its windows are compared
     with those of the other contexts of the gram. Equal contexts are combined before rows are exchanged, so a passage
     in very many documents costs a row a task; no group of occurrences is brought together.
