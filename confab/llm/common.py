@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,10 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a hash of the row id from which bounded samples are put together, by bits; a bucket too large for what is
-#: missing is parted by the next bits, while more than SAMPLE_SLACK of the bound is missing.
-SAMPLE_BITS, SAMPLE_SLACK = 12, 0.05
-SAMPLE_BUCKETS = 1 << SAMPLE_BITS
+#: A bounded sample is the rows below a threshold of a 63-bit hash, found a few bits at a time, from the highest on: by
+#: these shifts, while more than SAMPLE_SLACK of the bound is open.
+SAMPLE_SHIFTS, SAMPLE_SLACK = (51, 39, 27, 15, 3, 0), 0.05
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is set."""
+    """The folder that the cluster names for checkpoints. Where none is named, one of this machine in local mode; an
+    error on a cluster, whose machines would not see each other's."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="confab-"))
         named = context._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
@@ -44,35 +47,46 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: Column, size: Column, most: int, by: str | None = None) -> DataFrame:
-    """Rows of whole hash buckets, taken in order while the sum of ``size`` stays within ``most``
-    (for each value of ``by``, if given). The bound is strict: a bucket that does not fit is left out. Where that leaves
-    much of the bound open, as in large tables, the smallest bucket left out is parted by further bits of the hash, so
-    the sample is about full at every size, unless single rows exceed the rest."""
-    h = F.xxhash64(key)
+    """Rows of the least hashes of ``key``, as many as keep the sum of ``size`` within ``most`` (for each value of
+    ``by``, if given). Sums by the hash's highest bits tell in which bucket the bound is reached, sums by the next bits
+    where in it, and so on, so the sample is about full at every size, and one comparison a row picks it. Rows larger
+    than the bound are left out; rows that share a hash are taken together, and where the first of these exceed the
+    bound the sample begins after them, so it is only empty if nothing fits."""
+    h = F.shiftrightunsigned(F.xxhash64(key), 1)
+    size = F.coalesce(size, F.lit(0))
     group = F.col(by).cast("string") if by else F.lit("")
-    left: dict[str, int] = {}
-    inside: dict[str, Column] = {}
-    chosen = F.lit(False)
-    for level in range(64 // SAMPLE_BITS):
-        bucket = F.shiftrightunsigned(h, SAMPLE_BITS * level).bitwiseAND(F.lit(SAMPLE_BUCKETS - 1))
-        rows = df.where(functools.reduce(Column.__or__, inside.values())) if level else df
-        sums = rows.groupBy(group.alias("g"), bucket.alias("b")).agg(F.sum(size).alias("s"), (F.min(h) < F.max(h)).alias("parts")).collect()
-        taken: dict[str, list[int]] = {}
-        refused: dict[str, list[tuple[int, int]]] = {}
-        for r in sorted(sums, key=lambda r: (r.g or "", r.b)):
-            room = left.setdefault(r.g, most)
-            if (r.s or 0) <= room:
-                left[r.g] = room - (r.s or 0)
-                taken.setdefault(r.g, []).append(r.b)
-            elif r.parts:
-                refused.setdefault(r.g, []).append((r.s, r.b))
-        for g, buckets in taken.items():
-            same = inside[g] if level else group.eqNullSafe(F.lit(g))
-            chosen = chosen | (same if len(buckets) == SAMPLE_BUCKETS else same & bucket.isin(buckets))
-        inside = {g: (inside[g] if level else group.eqNullSafe(F.lit(g))) & (bucket == min(found)[1]) for g, found in refused.items() if left[g] > SAMPLE_SLACK * most}
-        if not inside:
-            break
-    return df.where(chosen)
+    fitting = df.where(size <= most)
+    left: dict[str | None, int] = {}
+    spans: dict[str | None, tuple[int, int]] = {}
+    inside = lambda g, a, b: group.eqNullSafe(F.lit(g)) & (h >= a) & (h < b)
+    either = lambda found: functools.reduce(Column.__or__, (inside(g, *ab) for g, ab in found.items()), F.lit(False))
+    open_: dict[str | None, tuple[int, int]] | None = None
+    level = 0
+    while open_ is None or open_:
+        shift = SAMPLE_SHIFTS[level]
+        rows = fitting if open_ is None else fitting.where(either(open_))
+        sums: dict[str | None, list[tuple[int, int]]] = {}
+        for r in rows.groupBy(group.alias("g"), F.shiftrightunsigned(h, shift).alias("b")).agg(F.sum(size).alias("s")).collect():
+            sums.setdefault(r.g, []).append((r.b, r.s))
+        cut: dict[str | None, tuple[int, int]] = {}
+        for g, buckets in sums.items():
+            room, (start, end) = left.get(g, most), spans.get(g, (0, 0))
+            for b, s in sorted(buckets):
+                if s > room:
+                    end = b << shift
+                    if room > SAMPLE_SLACK * most:
+                        cut[g] = (end, (b + 1) << shift)
+                    break
+                room, end = room - s, (b + 1) << shift
+            left[g], spans[g] = room, (start, end)
+        level += 1
+        if level == len(SAMPLE_SHIFTS):
+            # What is cut now shares one hash. Groups that have nothing yet go on behind it.
+            cut = {g: (b, 1 << 63) for g, (_, b) in cut.items() if left[g] == most}
+            spans |= {g: (a, a) for g, (a, _) in cut.items()}
+            level = 0
+        open_ = {g: (a, min(b, (1 << 63) - 1)) for g, (a, b) in cut.items()}
+    return df.where(either({g: (a, min(b, (1 << 63) - 1)) for g, (a, b) in spans.items()}) & (size <= most))
 
 
 def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,9 +41,11 @@ def test_recall_over_the_table(spark):
 
 @pytest.mark.parametrize("norms", [False, True])
 def test_blocks_and_norms(spark, norms, monkeypatch):
-    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 300)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 20)
-    monkeypatch.setattr(neighbours, "LEAST", 60)
+    monkeypatch.setattr(neighbours, "BUCKET", 100)
+    monkeypatch.setattr(neighbours, "QUERIES", 20)
+    monkeypatch.setattr(neighbours, "BATCH", 16)
+    monkeypatch.setattr(neighbours, "FIT_ROWS", 500)
+    monkeypatch.setattr(neighbours, "LEAST_PIVOTS", 64)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(8, 16))
     v = centres[rng.integers(0, 8, 1500)] + 0.3 * rng.normal(size=(1500, 16))
@@ -72,15 +75,39 @@ def test_many_copies_of_one_vector(spark):
     assert [r.vec_id for r in got] == [j for j, _ in brute(rows, asks=lambda i: i == 20)[20]]
 
 
-def test_footrule_equals_its_definition():
+def test_agreement_gives_the_footrule_of_prefixes():
     rng = np.random.default_rng(6)
-    order = np.array([rng.permutation(12) for _ in range(40)])
-    held = neighbours.Postings(order, 5)
-    rows = np.arange(0, 40, 3)
-    for q in order[:5]:
-        want = [sum(abs(list(q).index(x) - list(order[r]).index(x)) for x in range(12)) for r in rows]
-        assert held.footrule(rows, neighbours.places(q[None])[0]).tolist() == want
-        assert held.candidates(q, 3).tolist() == [r for r in range(40) if set(q[:3]) & set(order[r][:5])]
+    width, order = 5, np.array([rng.permutation(12) for _ in range(40)])
+    prefix = order[:, :width]
+    got = neighbours.agreements(neighbours.Files(prefix[:7], 12), neighbours.Files(prefix, 12))
+    place = lambda o, p: min(list(o).index(p), width)
+    for q in range(7):
+        want = [sum(abs(place(order[q], p) - place(o, p)) for p in range(12)) for o in order]
+        assert (width * (width + 1) - 2 * got[q]).tolist() == want
+
+
+def test_cells_are_packed_into_bounded_buckets():
+    rng = np.random.default_rng(8)
+    counts = {c: int(rng.integers(0, 40)) for c in range(50)} | {7: 950, 8: 0, 30: 101, 49: 100}
+    first, parts = neighbours.packed(counts, 50, 100)
+    held = {}
+    for c in range(50):
+        assert parts[c] == max(1, -(-counts[c] // 100))
+        for b in range(first[c], first[c] + parts[c]):
+            held.setdefault(b, []).append((c, counts[c] / parts[c]))
+    assert all(sum(n for _, n in v) <= 100 for v in held.values()) and len(held) < 40
+    assert all(len(v) == 1 for v in held.values() if any(parts[c] > 1 for c, _ in v))
+
+
+def test_structure_keeps_queries_to_few_cells():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32))
+    v = centres[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 32))
+    pivots = neighbours.Pivots(neighbours.chosen_pivots(v, 256, 7), float((v * v).sum(axis=1).max()))
+    loose = rng.normal(size=(4000, 32))
+    other = neighbours.Pivots(neighbours.chosen_pivots(loose, 256, 7), float((loose * loose).sum(axis=1).max()))
+    a, b = neighbours.fitted(pivots, v, 10**6, 20, 7), neighbours.fitted(other, loose, 10**6, 20, 7)
+    assert a.opened < b.opened / 5 and a.share < b.share
 
 
 def test_pivots_are_apart():
@@ -95,7 +122,8 @@ def test_pivots_are_apart():
 def recall(spark, v):
     """Of every 200th row's 20 nearest, the share found with the parameters as they are."""
     v = v.astype(np.float32).astype(float)
-    got = neighbours.nearest(frame(spark, list(enumerate(v.tolist()))), F.col("vec_id") % 200 == 0).toPandas()
+    rows = pa.table({"vec_id": pa.array(range(len(v)), pa.int64()), "embedding": pa.array(list(v), pa.list_(pa.float64()))})
+    got = neighbours.nearest(spark.createDataFrame(rows), F.col("vec_id") % 200 == 0).toPandas()
     found = []
     for i, g in got.groupby("query_id"):
         s = v @ v[i]
@@ -113,6 +141,12 @@ def test_recall_with_unequal_norms(spark, sigma):
     assert recall(spark, v) >= 0.95
 
 
+def test_recall_on_fifty_thousand_vectors(spark):
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(50_000, 64)) + 0.5 * rng.normal(size=(10, 64))[rng.integers(0, 10, 50_000)]
+    assert recall(spark, v / np.linalg.norm(v, axis=1)[:, None]) >= 0.9
+
+
 @pytest.mark.parametrize("strength", [3.5, 5, 20])
 def test_recall_with_a_common_mean(spark, strength):
     rng = np.random.default_rng(12)
