@@ -107,8 +107,10 @@ def passages(seed=3):
     return {i * 2: t for i, t in enumerate(texts + texts[:5])}
 
 
-@pytest.mark.parametrize(("least", "gram"), [(50, 16), (10, 4)])
-def test_repeats_equal_brute_force(spark, least, gram):
+@pytest.mark.parametrize(("least", "gram", "most"), [(50, 16, 4096), (50, 16, 3), (10, 4, 4096)])
+def test_repeats_equal_brute_force(spark, least, gram, most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORTED", most)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 5)
     texts = passages()
     got = suffix_dedup.repeated_passages(docs(spark, list(texts.items())), least, gram).collect()
     want = repeats(texts, least)
@@ -133,6 +135,41 @@ def test_repeat_edge_cases(spark):
     assert suffix_dedup.repeated_passages(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_sorted_neighbours_equal_brute_force():
+    rng = random.Random(2)
+    least, gram = 9, [b"g1", b"g2", b"g3"]
+    rows = []
+    for _ in range(300):
+        left = rng.randrange(0, 7)
+        windows = rng.randrange(1, left + 2)
+        words = [rng.choice([b"a", b"b"]) for _ in range(left)] + gram + [rng.choice([b"a", b"b"]) for _ in range(60)]
+        lo = rng.randrange(60)
+        rows.append((words[: windows - 1 + least], left, windows, lo, lo + rng.choice([0, 0, 0, 4])))
+    numbers = [np.array([r[k] for r in rows]) for k in range(1, 5)]
+    got = set(suffix_dedup.matched_windows([r[0] for r in rows], *numbers, least))
+    # Windows are equal where their words and the gram's place in them are.
+    held = {}
+    for words, left, windows, lo, hi in rows:
+        for k in range(windows):
+            held.setdefault((left - k, tuple(words[k : k + least])), []).append((lo, hi))
+    want = set()
+    for r, (words, left, windows, _, _) in enumerate(rows):
+        for k in range(windows):
+            docs_ = held[left - k, tuple(words[k : k + least])]
+            if min(a for a, _ in docs_) < max(b for _, b in docs_):
+                want.add((r, k, min(a for a, _ in docs_)))
+    assert got == want and 0 < len(got) < sum(r[2] for r in rows)
+
+
+def test_rows_that_share_an_id(spark):
+    p, q = (" ".join(f"{c}{k}" for k in range(60)) for c in "pq")
+    rows = [(1, p), (2, f"one {p}"), (2, f"{q} two three"), (2, f"{q} two three"), (3, q), (3, "short"), (3, None), (4, "other " * 70)]
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.first, r.first_doc_ids) for r in suffix_dedup.repeated_passages(docs(spark, rows)).collect())
+    assert got == [(1, 0, 60, True, [1]), (2, 0, 60, True, [2]), (2, 1, 61, False, [1]), (3, 0, 60, False, [2])]
+    left = sorted((r.doc_id, r.text or "") for r in suffix_dedup.drop_repeats(docs(spark, rows)).collect())
+    assert left == [(1, p), (2, "one "), (2, f"{q} two three"), (2, f"{q} two three"), (3, ""), (3, "short"), (4, "other " * 70)]
+
+
 def test_dropping_leaves_one_copy(spark):
     texts = passages(9)
     left = {r.doc_id: r.text for r in suffix_dedup.drop_repeats(docs(spark, list(texts.items()))).collect()}
