@@ -19,6 +19,10 @@ PIECE_CHARS = 1 << 16
 #: A token of the split pattern never holds a non-space followed by white space, and the pattern
 #: looks only forward, so between the two a text can be cut without changing any match.
 _BOUNDARY = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\n\r\f\v])")
+#: White space, as the split pattern's library has it; runs of so many are cut out before, as its stack grows with them.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 4096
+_RUN = re.compile(f"[{_SPACES}]{{{LONG_RUN},}}")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
@@ -43,9 +47,27 @@ def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def long_runs(text: str) -> list[tuple[str, bool]]:
+    """``text`` in parts, each with whether it is a long run of white space that is one match of the split pattern: all
+    of a run at the end of the text, elsewhere all but its last character, which goes with what follows."""
+    if len(text) < LONG_RUN:
+        return [(text, False)]
+    out, at = [], 0
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += [(text[at : m.start()], False), (text[m.start() : end], True)]
+        at = end
+    return [*out, (text[at:], False)]
+
+
 def encode_text(enc: tiktoken.Encoding, text: str | None) -> np.ndarray:
     """Ids of the whole text as little-endian unsigned 32-bit integers."""
-    parts = [np.asarray(enc.encode_ordinary(p), dtype="<u4") for p in pieces(text or "")]
+    parts = []
+    for part, run in long_runs(text or ""):
+        if run:
+            parts.append(np.asarray(enc._encode_single_piece(part), dtype="<u4"))
+        else:
+            parts += [np.asarray(enc.encode_ordinary(p), dtype="<u4") for p in pieces(part)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

@@ -78,6 +78,24 @@ def test_round_trip(spark, sf_dir):
     assert {r.doc_id: r.decoded_sha256 for r in rows} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
 
 
+LONG = ["x" + " " * 5000 + "y", " " * 5000, "\n" * 4999 + "a", "a " + "\t" * 6000, "a" + "\u3000" * 5000 + "b", "x" + " " * 20000 + "\n", "\x85" * 5000 + " b", "\x1c" * 5000 + " " * 5000 + "\x1cb", " " * 4096 + "a" + " " * 4097 + "'s"]
+
+
+@pytest.mark.parametrize("k", range(len(LONG)))
+def test_long_white_space_equals_the_library(k):
+    enc = bpe.encoding(RANKS, PATTERN)
+    assert bpe.encode_text(enc, LONG[k]).tolist() == enc.encode_ordinary(LONG[k])
+
+
+def test_very_long_white_space(spark):
+    texts = [" " * 2_000_000, "\n" * 2_000_000 + "a", "b" + " \t" * 1_000_000 + "c", "a" * 500_000]
+    got = {r.doc_id: r for r in bpe.round_trip(docs(spark, texts), RANKS, PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    enc = bpe.encoding(RANKS, PATTERN)
+    assert got[0].n_tokens == len(enc._encode_single_piece(" " * 2_000_000))
+
+
 def test_empty_tables_and_repeated_rows(spark):
     none = docs(spark, []) if False else spark.createDataFrame([], "doc_id long, text string")
     assert token_count.token_counts(none, JSON, PATTERN).collect() == [] and bpe.round_trip(none, RANKS, PATTERN).collect() == []
