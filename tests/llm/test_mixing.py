@@ -88,19 +88,85 @@ def test_one_source_and_many(spark):
         assert all(abs(taken[s] - goal[s]) <= max(longest[s], 0.02 * goal[s]) for s in goal)
 
 
-def test_inclusion_follows_the_share(spark):
-    """Over seeds, each document of a source with rate f is taken with frequency f, long or short."""
-    df = docs(spark, ["a " * (2 if k % 2 else 20) for k in range(60)] + ["b " * 50] * 12, source=lambda k: "a" if k < 60 else "b").cache()
-    hits, rate = {0: 0, 1: 0}, None
-    for seed in range(6):
-        for r in mixing.mix(df, weights=(1, 1), seed=seed).where("source = 'b' OR source = 'a'").collect():
-            if r.source == "b":
-                continue
-            rate = r.target / r.source_size
-            hits[r.doc_id % 2] += r.taken / r.size
-    assert rate is not None
-    for k in (0, 1):
-        assert abs(hits[k] / (6 * 30) - rate) < 0.25
+def plain_scale(sizes, room, power):
+    """The scale of the inclusions min(1, scale * size ** power) whose expected words are the room, by bisection."""
+    lo, hi = 0.0, 1.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(1.0, mid * s**power) * s for s in sizes) < room else (lo, mid)
+    return (lo + hi) / 2
+
+
+def plain_mix(rows, weights=(5, 2, 1), most=3, power=None, passes=None):
+    """{row: copies} from (source, size, u), as the docstring of plan() has it."""
+    power, passes = mixing.POWER if power is None else power, passes or mixing.PASSES
+    by = {}
+    for k, (source, _, _) in enumerate(rows):
+        by.setdefault(source, []).append(k)
+    sizes = {s: sum(rows[k][1] for k in ks) for s, ks in by.items()}
+    goal, out = plain_targets(sizes, weights, most), dict.fromkeys(range(len(rows)), 0)
+    for source, ks in by.items():
+        rate = min(goal[source] / sizes[source], most) if sizes[source] else 0
+        whole = int(rate + 1e-12)
+        room = goal[source] - whole * sizes[source]
+        for k in ks:
+            out[k] = whole
+        if room <= 1e-12 * max(sizes[source], 1):
+            continue
+        scale = plain_scale([rows[k][1] for k in ks], room, power)
+        q = {}
+        for k in ks:
+            p, u = scale * rows[k][1] ** power, rows[k][2]
+            q[k] = 0.0 if p >= 1 - 1e-12 else (u / (1 - u)) / (p / (1 - p)) if p else float("inf")
+        left, after = [k for k in ks if rows[k][1]], -1.0
+        for turn in range(passes):
+            last = turn == passes - 1
+            longest = float("inf") if not turn else room * (2 if last else 1)
+            ties = {}
+            for k in left:
+                if q[k] > after and rows[k][1] <= longest:
+                    ties.setdefault(q[k], []).append(k)
+            for at in sorted(ties):
+                words = sum(rows[k][1] for k in ties[at])
+                if words / (2 if last else 1) > room:
+                    break
+                room, after = max(room - words, 0), at
+                for k in ties[at]:
+                    out[k] += 1
+                if room == 0 and not last:
+                    break
+    return out
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 20])
+def test_taken_equals_a_plain_mix(spark, kinds):
+    import random
+
+    rng = random.Random(kinds)
+    texts = [f"{k} " + "w " * int(rng.lognormvariate(2.5, 1.2)) for k in range(600)] + [None, "", "x " * 900]
+    df = docs(spark, texts, source=lambda k: f"s{k % kinds}" if k % 11 else None)
+    rows = mixing.sized(df, 42).collect()
+    want = plain_mix([(r.source, r.size, r.u) for r in rows])
+    got = {r.doc_id: r.copies for r in mixing.mix(df).collect()}
+    assert got == {r.doc_id: min(want[k], 3) for k, r in enumerate(rows)}
+
+
+def test_inclusion_goes_with_size(spark):
+    """Over seeds, documents of one source are taken as often as their own inclusion probability says."""
+    sizes = [4, 16, 64] * 80
+    df = docs(spark, [f"{k} " + "a " * (sizes[k] - 1) for k in range(240)] + ["b " * 50] * 12, source=lambda k: "a" if k < 240 else "b").cache()
+    hits, seeds = dict.fromkeys(sizes, 0), 8
+    for seed in range(seeds):
+        got = mixing.mix(df, weights=(1, 5), seed=seed).where("source = 'a'").collect()
+        whole = int(got[0].target / got[0].source_size)
+        for r in got:
+            hits[r.size] += r.copies - whole
+    room = got[0].target - whole * got[0].source_size
+    scale = plain_scale(sizes, room, mixing.POWER)
+    want = {s: min(1, scale * s**mixing.POWER) for s in hits}
+    assert want[4] < want[16] < want[64]
+    for s in hits:
+        assert abs(hits[s] / (80 * seeds) - want[s]) < 0.08
 
 
 def test_documents_are_repeated(spark):
