@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import bounded_sample, lean, row_mapper, rows_of
+from .common import bounded_sample, lean, row_mapper, rows_of, stored
 
 #: Labelled rows of each class from which the trees are grown, at most. Documented bound of the training sample.
 SAMPLE_ROWS = 8_000
@@ -60,9 +60,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled rows a class, none of them held out. Labels of one id count once
-    (the largest); labels other than 0 and 1 and null ids are left aside. The chosen labels are bounded, so they are
-    broadcast, and no text is shuffled."""
+    """(doc_id, text, y) of the documents of at most ``most`` labelled ids a class, none of them held out. Labels of one
+    id count once (the largest); labels other than 0 and 1 and null ids are left aside. The chosen labels are bounded, so
+    they are broadcast, and no text is shuffled."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
     known = known.groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = bounded_sample(known, F.col("l_id"), F.lit(1), most, by="y")
@@ -70,11 +70,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, most: int)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most: int = SAMPLE_ROWS) -> boosting.Forest:
-    """Trees from at most ``most`` labelled rows a class. Statistics are made on the executors; only numbers travel."""
+    """Trees from at most ``most`` labelled rows a class, also where many rows share a labelled id. Statistics are made
+    on the executors, all at once; only numbers travel."""
     rows = training_rows(docs, labels, label_col, most)
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
-    made = rows.mapInArrow(row_mapper(lambda: lambda r: [(r[0], r[2], statistics(r[1]))], ("doc_id", "text", "y"), schema), "doc_id long, y int, x array<double>")
-    got = sorted(((r.doc_id, r.y, tuple(r.x)) for r in made.toLocalIterator()))
+    made = stored(rows.mapInArrow(row_mapper(lambda: lambda r: [(r[0], r[2], statistics(r[1]))], ("doc_id", "text", "y"), schema), "doc_id long, y int, x array<double>"))
+    made = bounded_sample(made, F.hash("doc_id", "x"), F.lit(1), most, by="y")
+    got = sorted(((r.doc_id, r.y, tuple(r.x)) for r in made.collect()))
     x = np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES))
     return boosting.fit(x, np.array([r[1] for r in got], float))
 

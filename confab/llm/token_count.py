@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import pieces
-from .common import bounded_sample, row_mapper
+from .common import bounded_sample, row_mapper, stored
 
-#: Bytes of text from which the frequent pre-tokens are counted. Only speed depends on it, no result.
-SAMPLE_BYTES = 8 << 20
+#: Rows, and bytes of their texts, from which the frequent pre-tokens are counted. Only speed depends on it, no result.
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 8 << 20
 #: Entries of the broadcast table and the longest pre-token in it, which together bound its size.
 FREQUENT, FREQUENT_CHARS = 40_000, 32
 #: A worker's cache of other pre-tokens is emptied when it holds this many.
@@ -69,10 +69,12 @@ def specials_of(tok: Tokenizer) -> re.Pattern | None:
 
 
 def frequent_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of a sample of at most SAMPLE_BYTES. Each task counts for itself
-    and sends a bounded head of its counts; pre-tokens are not shuffled."""
+    """Lengths of the most frequent pre-tokens of a sample of at most SAMPLE_ROWS rows and SAMPLE_BYTES. Rows are chosen
+    by id, so no text is read for that, and their texts are kept; the bound of bytes is then kept within these. Each
+    task counts for itself and sends a bounded head of its counts; pre-tokens are not shuffled."""
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    sample = bounded_sample(source, F.col("i"), F.octet_length("t"), SAMPLE_BYTES)
+    sample = stored(bounded_sample(source, F.col("i"), F.lit(1), SAMPLE_ROWS))
+    sample = bounded_sample(sample, F.xxhash64("i", "t"), F.octet_length("t"), SAMPLE_BYTES)
     schema = pa.schema([("token", pa.string()), ("n", pa.int64())])
 
     def count(it):
@@ -85,7 +87,7 @@ def frequent_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in head], pa.string()), pa.array([v for _, v in head], pa.int64())], schema=schema)
 
     total: Counter = Counter()
-    for r in sample.select("t").coalesce(64).mapInArrow(count, "token string, n long").toLocalIterator():
+    for r in sample.select("t").mapInArrow(count, "token string, n long").collect():
         total[r.token] += r.n
     tok = tokenizer(path)
     return {k: len(tok.encode(k, add_special_tokens=False).ids) for k, _ in total.most_common(FREQUENT)}

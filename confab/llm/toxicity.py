@@ -9,15 +9,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, lean, rows_of
+from .common import bounded_sample, lean, rows_of, stored
 from .quality import held_out, training_rows
 
 #: Labelled rows and bytes of text of each class from which the models are counted, at most. Documented bounds of
 #: the training sample; they also bound the tables that are broadcast.
-SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 4 << 20
+SAMPLE_ROWS, SAMPLE_BYTES, ROW_BYTES = 20_000, 4 << 20, 64
 #: Characters of context, and the discount of all orders.
 ORDER, DISCOUNT = 7, 0.75
 #: Discount of a class's own counts: what it has seen twice only is left to the backoff.
@@ -185,7 +186,7 @@ def _words(texts: list[str]) -> Counter:
     for t in texts:
         words = words_of(t)
         for pair in zip(["", *words], words, strict=False):
-            if (h := hash(pair)) not in seen:
+            if (h := xxhash.xxh3_64_intdigest("\0".join(pair))) not in seen:
                 seen.add(h)
                 raw[pair[1]] += 1
     out: Counter = Counter()
@@ -212,10 +213,12 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
-    """A model from labelled texts of at most ``rows`` rows and ``size`` bytes a class, none of them held out."""
-    found = training_rows(docs, labels, label_col, rows)
-    found = bounded_sample(found, F.col("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)), size, by="y")
-    return fit([(r.doc_id, r.text, r.y) for r in found.select("doc_id", "text", "y").toLocalIterator()])
+    """A model from labelled texts of at most ``rows`` ids and ``size`` bytes a class (each row counts ROW_BYTES more,
+    so rows without text are bounded too), none of them held out. Texts are read once; what is labelled is kept, and the
+    sample is chosen from that."""
+    found = stored(training_rows(docs, labels, label_col, rows))
+    found = bounded_sample(found, F.xxhash64("doc_id", "text"), F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES, size, by="y")
+    return fit([(r.doc_id, r.text, r.y) for r in found.select("doc_id", "text", "y").collect()])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
