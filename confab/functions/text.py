@@ -13,7 +13,7 @@ _BLANK = r"[\t\n\u000B\f\r    -     　﻿]+"
 
 def trim(text: Column) -> Column:
     """Without white space at both ends, also no-break spaces and the byte order mark; plain trim() only knows U+0020."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{_BLANK}", ""), f"{_BLANK}$", "")
+    return F.regexp_replace(F.regexp_replace(text, f"^{_BLANK}", ""), rf"{_BLANK}\z", "")
 
 
 def length_utf16(text: Column) -> Column:
@@ -64,6 +64,6 @@ def to_fixed(digits: int):
 
     @F.pandas_udf("string")
     def fixed(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else str(Decimal(v).quantize(unit, ROUND_HALF_UP)))
+        return x.map(lambda v: None if pd.isna(v) else format(Decimal(v).quantize(unit, ROUND_HALF_UP), "f"))
 
     return fixed

@@ -22,7 +22,7 @@ def matches(media_type: Column, accept: Column) -> Column:
 
 
 def admit(files: DataFrame, batch: str, order: str, accept: Column, max_size: Column, max_files: Column, current: Column) -> DataFrame:
-    """files (media_type, size) with fits_type, fits_size, admitted and code, the batch's error or null.
+    """files (media_type, size) with fits_type, fits_size, admitted, and code and message of the batch's error, or null.
 
     Type first, then size, then as many as there is room for, in order. Nothing of the type: ``accept``. All of the
     type too large: ``max_file_size``. More than there is room for: ``max_files``, and those that have room are still
@@ -37,4 +37,6 @@ def admit(files: DataFrame, batch: str, order: str, accept: Column, max_size: Co
     place = F.sum(F.col("fits_size").cast("int")).over(before.rowsBetween(Window.unboundedPreceding, 0))
     of_type, of_size = (F.sum(F.col(c).cast("int")).over(whole) for c in ("fits_type", "fits_size"))
     code = F.when(of_type == 0, "accept").when(of_size == 0, "max_file_size").when(of_size > room, "max_files")
-    return ok.withColumn("admitted", F.col("fits_size") & F.coalesce(place <= room, F.lit(True))).withColumn("code", code)
+    ok = ok.withColumn("admitted", F.col("fits_size") & F.coalesce(place <= room, F.lit(True))).withColumn("code", code)
+    told = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    return ok.withColumn("message", F.try_element_at(told, F.col("code")))

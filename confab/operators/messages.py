@@ -20,16 +20,17 @@ def flatten_parts(messages: DataFrame, id_col: str = "id", parts_col: str = "par
     return rows.where(F.col("part.type") == "text").select(id_col, F.concat_ws("-", id_col, "position").alias("key"), "position", F.col("part.text").alias("text"))
 
 
-def default_format(role: Column, text: Column) -> Column:
+def default_format(role: Column, text: Column, position: Column) -> Column:
     return F.concat(F.lit("**"), role_label(role), F.lit(":** "), F.coalesce(text, F.lit("")))
 
 
-def transcripts(messages: DataFrame, group: str = "conv_id", order: str = "turn", formatter: Callable[[Column, Column], Column] = default_format) -> DataFrame:
+def transcripts(messages: DataFrame, group: str = "conv_id", order: str = "turn", formatter: Callable[[Column, Column, Column], Column] = default_format) -> DataFrame:
     """(group, markdown): each conversation as one text, messages in order with a blank line between. A conversation
-    is one value of the result, so its messages meet by nature; the order is a column, not arrival."""
-    rows = messages.select(group, order, formatter(F.col("role"), F.col("text")).alias("line"))
-    lines = F.array_sort(F.collect_list(F.struct(order, "line")))
-    return rows.groupBy(group).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("markdown"))
+    is one value of the result, so its messages meet by nature; the order is a column, not arrival. The formatter gets
+    role, text and the message's position, from 0."""
+    held = F.array_sort(F.collect_list(F.struct(order, "role", "text")))
+    lines = F.transform(held, lambda x, k: F.coalesce(formatter(x["role"], x["text"], k), F.lit("")))
+    return messages.groupBy(group).agg(F.array_join(lines, "\n\n").alias("markdown"))
 
 
 def last_message(messages: DataFrame, group: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -56,6 +57,12 @@ def branches(options: DataFrame, group: str, order: str, current: Column) -> Dat
     return n.select(group, "n", "current", F.pmod(F.col("current") - 1, F.col("n")).alias("previous"), F.pmod(F.col("current") + 1, F.col("n")).alias("next"), label.alias("label"))
 
 
+def picked_branch(options: DataFrame, group: str, order: str, current: Column) -> DataFrame:
+    """Of each group the option that is shown: the one at ``current``, from 0, in order; none where there is none."""
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    return options.withColumn("_at", at).where(F.col("_at") == current).drop("_at")
+
+
 def status_label(status: Column) -> Column:
     """Busy while submitted or streaming, then Error or Ready."""
     return F.when(status.isin("submitted", "streaming"), "Stop").when(status == "error", "Error").otherwise("Submit")

@@ -21,6 +21,20 @@ def insert(records: DataFrame, new: DataFrame) -> DataFrame:
     return records.unionByName(new)
 
 
+def stamped(new: DataFrame, now: Column, created: str = "created_at", updated: str = "updated_at") -> DataFrame:
+    """New records with their stamps: created when they say so, else now; updated now. The time is a parameter, so that
+    a rerun gives the same records."""
+    held = F.col(created) if created in new.columns else F.lit(None)
+    return new.withColumn(created, F.coalesce(held, now)).withColumn(updated, now)
+
+
+def touched(records: DataFrame, changes: DataFrame, key: str, now: Column, updated: str = "updated_at") -> DataFrame:
+    """records with the stamp of now on those of the changes' keys; goes with update()."""
+    marked = changes.select(F.col(key).alias("_key"), F.lit(True).alias("_changed")).distinct()
+    rows = records.join(marked, F.col(key) == F.col("_key"), "left")
+    return rows.withColumn(updated, F.when(F.col("_changed"), now).otherwise(F.col(updated))).select(*records.columns)
+
+
 def update(records: DataFrame, changes: DataFrame, key: str, columns: list[str], owner: str | None = None) -> DataFrame:
     """records with ``columns`` taken from the changes of the same key, null included; other keys change nothing. With
     ``owner`` a change only holds where the owners agree too. Changes have one row a key."""

@@ -12,6 +12,8 @@ ROUTES = [
 ]
 #: Extensions of static files, for which no decision is made. Fixed values.
 STATIC = r"html?|css|js(?!on)|jpe?g|webp|png|gif|svg|ttf|woff2?|ico|csv|docx?|xlsx?|zip|webmanifest"
+#: Paths for which a decision is always made, also where they look like static files. Fixed values.
+ALWAYS = (r"^/(api|trpc)(.*)$", r"^/__clerk/(.*)$")
 
 
 def route_table(spark: SparkSession) -> DataFrame:
@@ -23,8 +25,8 @@ def is_public(path: Column) -> Column:
 
 
 def eligible(path: Column) -> Column:
-    """Paths for which a decision is made at all: no internals, no static files, always the API."""
-    return path.rlike(rf"^/((?!_next|[^?]*\.(?:{STATIC})).*)$") | path.rlike(r"^/(api|trpc)(.*)$")
+    """Paths for which a decision is made at all: no internals, no static files, always the API and the sign-in service."""
+    return path.rlike(rf"^/((?!_next|[^?]*\.(?:{STATIC})).*)$") | path.rlike(ALWAYS[0]) | path.rlike(ALWAYS[1])
 
 
 def decision(path: Column, signed_in: Column) -> Column:
@@ -58,6 +60,6 @@ def titles(requests: DataFrame, routes: DataFrame, path: str = "path") -> DataFr
 
 def menu(requests: DataFrame, routes: DataFrame, path: str = "path", signed_in: str = "signed_in") -> DataFrame:
     """One row a request and visible entry: the open routes for guests, the others for members; active marks the path."""
-    entries = routes.select("key", F.col("title").alias("entry"), "url", "public")
-    rows = requests.join(F.broadcast(entries), F.col("public") != F.col(signed_in))
-    return rows.withColumn("active", F.col("url") == F.col(path)).drop("public")
+    entries = routes.select("key", F.col("title").alias("entry"), "url", (~F.col("public")).alias("_for"))
+    rows = requests.join(F.broadcast(entries), F.col("_for") == F.col(signed_in))
+    return rows.withColumn("active", F.col("url") == F.col(path)).drop("_for")

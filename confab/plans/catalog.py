@@ -39,6 +39,16 @@ def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.transcripts(tables.parquet(spark, sf_dir, "conversations"))
 
 
+@_query("""
+SELECT conv_id, string_agg(n || '. ' || role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS markdown
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id
+""")
+def markdown_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts by a formatter that uses the position."""
+    numbered = lambda role, text, k: F.concat((k + 1).cast("string"), F.lit(". "), role, F.lit(": "), text)
+    return messages.transcripts(tables.parquet(spark, sf_dir, "conversations"), formatter=numbered)
+
+
 @_query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
 def last_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.last_message(tables.parquet(spark, sf_dir, "conversations"))
@@ -116,9 +126,14 @@ def usage_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.suspicious(_usage(spark, sf_dir)).select("conv_id", "turn")
 
 
-@_query()
+@_query(f"""
+WITH u AS ({_USAGE_SQL}), p(model, rate_in, rate_out) AS (VALUES ('claude-haiku-4-5-20251001', 1.0::DOUBLE, 5.0::DOUBLE), ('claude-sonnet-4-6', 3.0, 15.0), ('claude-opus-4-8', 5.0, 25.0)),
+c AS (SELECT conv_id, turn, model, coalesce(input_tokens, 0) AS i, coalesce(output_tokens, 0) AS o, coalesce(cached_tokens, 0) AS c, rate_in, rate_out FROM u JOIN p USING (model))
+SELECT conv_id, turn, printf('[%s] in=%d (cached %d) out=%d → $%.6f', model, i, c, o, ((i - c) * rate_in + c * rate_in * 0.1::DOUBLE) / 1000000::DOUBLE + (o * rate_out) / 1000000::DOUBLE) AS line FROM c
+""")
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six exact decimals: no SQL here rounds ties on the binary value; tests compare with exact decimals."""
+    """Six decimals of the exact binary value. The SQL would round ties to the even digit, of which these tables have
+    none; tests compare with exact decimals."""
     return usage.log_lines(usage.costs(_usage(spark, sf_dir), usage.price_table(spark))).select("conv_id", "turn", "line")
 
 
@@ -155,7 +170,9 @@ t AS (SELECT *, CASE WHEN accept LIKE '%en%' THEN media_type = 'text/en' WHEN ac
 s AS (SELECT *, fits_type AND (max_size = 0 OR size <= max_size) AS fits_size, greatest(0, max_files - held) AS room FROM t),
 w AS (SELECT *, sum(fits_size::INT) OVER (PARTITION BY batch ORDER BY doc_id) AS place, sum(fits_type::INT) OVER (PARTITION BY batch) AS n_type, sum(fits_size::INT) OVER (PARTITION BY batch) AS n_size FROM s)
 SELECT batch, doc_id, fits_type, fits_size, fits_size AND coalesce(place <= CASE WHEN max_files IS NOT NULL THEN room END, true) AS admitted,
-       CASE WHEN n_type = 0 THEN 'accept' WHEN n_size = 0 THEN 'max_file_size' WHEN max_files IS NOT NULL AND n_size > room THEN 'max_files' END AS code FROM w
+       CASE WHEN n_type = 0 THEN 'accept' WHEN n_size = 0 THEN 'max_file_size' WHEN max_files IS NOT NULL AND n_size > room THEN 'max_files' END AS code,
+       CASE WHEN n_type = 0 THEN 'No files match the accepted types.' WHEN n_size = 0 THEN 'All files exceed the maximum size.'
+            WHEN max_files IS NOT NULL AND n_size > room THEN 'Too many files. Some were not added.' END AS message FROM w
 """)
 def admission_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = F.floor(F.col("doc_id") / 10)
@@ -164,7 +181,7 @@ def admission_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     accept = F.when(b % 4 == 0, " text/en , application/* ").when(b % 4 == 1, "text/*").when(b % 4 == 2, " ").otherwise("image/*")
     limit, files = F.when(b % 3 == 0, 0).otherwise(600), F.when(b % 5 != 4, F.lit(4))
     out = admission.admit(rows, "batch", "doc_id", accept, limit, files, b % 6)
-    return out.select("batch", "doc_id", "fits_type", "fits_size", "admitted", "code")
+    return out.select("batch", "doc_id", "fits_type", "fits_size", "admitted", "code", "message")
 
 
 @_query("""
@@ -178,21 +195,21 @@ def dedupe_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REQUEST_SQL = """
 SELECT page_id, page_id % 2 = 0 AS signed_in, CASE page_id % 10 WHEN 0 THEN '/' WHEN 1 THEN '/signin' WHEN 2 THEN '/signup/x' WHEN 3 THEN '/chat' WHEN 4 THEN '/_next/a' WHEN 5 THEN '/a.css'
-       WHEN 6 THEN '/api/a.json' ELSE regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', '') END AS path FROM pages
+       WHEN 6 THEN '/api/a.json' WHEN 7 THEN '/__clerk/a.js' ELSE regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', '') END AS path FROM pages
 """
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*", ""), "[?#].*$", "")
     path = own
-    for k, p in enumerate(("/", "/signin", "/signup/x", "/chat", "/_next/a", "/a.css", "/api/a.json")):
+    for k, p in enumerate(("/", "/signin", "/signup/x", "/chat", "/_next/a", "/a.css", "/api/a.json", "/__clerk/a.js")):
         path = F.when(F.col("page_id") % 10 == k, p).otherwise(path)
     return tables.parquet(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 2 == 0).alias("signed_in"), path.alias("path"))
 
 
 @_query(f"""
 WITH r AS ({_REQUEST_SQL}),
-k AS (SELECT *, (starts_with(path, '/_next') OR regexp_matches(path, '\\.(html?|css|js($|[^o])|jso($|[^n])|jpe?g|webp|png|gif|svg|ttf|woff2?|ico|csv|docx?|xlsx?|zip|webmanifest)')) AND NOT starts_with(path, '/api') AS skipped,
+k AS (SELECT *, (starts_with(path, '/_next') OR regexp_matches(path, '\\.(html?|css|js($|[^o])|jso($|[^n])|jpe?g|webp|png|gif|svg|ttf|woff2?|ico|csv|docx?|xlsx?|zip|webmanifest)')) AND NOT starts_with(path, '/api') AND NOT starts_with(path, '/__clerk/') AS skipped,
              starts_with(path, '/signin') OR starts_with(path, '/signup') AS open FROM r)
 SELECT page_id, path, signed_in, CASE WHEN skipped OR path = '' THEN NULL WHEN signed_in AND (open OR path = '/') THEN 'redirect:/chat' WHEN NOT open AND NOT signed_in THEN 'protect' ELSE 'pass' END AS decision FROM k
 """)
@@ -316,6 +333,13 @@ def branch_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.branches(rows, "conv_id", "turn", F.col("conv_id") % F.col("n"))
 
 
+@_query("""
+SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE k = conv_id % 3
+""")
+def branch_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.picked_branch(tables.parquet(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("conv_id") % 3)
+
+
 @_query("""
 SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'malformed' WHEN 2 THEN 'model' WHEN 3 THEN 'model' WHEN 4 THEN 'messages' END AS error,
        CASE WHEN conv_id % 5 = 0 THEN 'm' END AS model, CASE WHEN conv_id % 5 = 0 THEN text END AS text FROM conversations
@@ -384,3 +408,104 @@ def field_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.parquet(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("all"))
     seen = validation.shown(F.col("all"))
     return rows.select("o_custkey", F.size("all").cast("long").alias("n"), F.size(F.array_distinct("all")).cast("long").alias("n_kinds"), F.when(F.startswith(seen, F.lit("- ")), "list").otherwise(seen).alias("shown"))
+
+
+@_query("SELECT event_id, event_type, ts FROM events WHERE user_id = 7")
+def owned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.parquet(spark, sf_dir, "events")
+    return records.owned_by(rows, "user_id", F.lit(7)).select("event_id", "event_type", "ts")
+
+
+@_query("SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey = 42")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choice.lookup(tables.parquet(spark, sf_dir, "part"), "p_partkey", F.lit(42)).select("p_partkey", "p_name", "p_size")
+
+
+@_query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS kinds, 0::BIGINT AS cleared FROM events GROUP BY user_id")
+def attachment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments as they are sent, without their ids, and the list after it was cleared."""
+    rows = tables.parquet(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), "event_type"))).alias("held"))
+    sent = attachments.without_ids(F.col("held"))
+    return rows.select("user_id", F.array_join(F.transform(sent, lambda x: x["event_type"]), ",").alias("kinds"), F.size(attachments.clear(F.col("held"))).cast("long").alias("cleared"))
+
+
+@_query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'own' ELSE 'Sign In' END AS first, 'Chat' AS second, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS third FROM supplier
+""")
+def merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.map_filter(F.create_map(F.lit("/signin"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("own")), F.lit("/more"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name"))), lambda k, v: v.isNotNull())
+    rows = tables.parquet(spark, sf_dir, "supplier").withColumn("m", routes.merged(routes.route_map("url", "title"), own))
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    return rows.select("s_suppkey", at("/signin").alias("first"), at("/chat").alias("second"), at("/more").alias("third"))
+
+
+@_query("""
+SELECT c_custkey, c_nationkey % 4 <> 0 AS success, CASE WHEN c_nationkey % 4 = 0 THEN 'Unauthorized' ELSE c_name END AS message FROM customer
+""")
+def guarded_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.parquet(spark, sf_dir, "customer")
+    done = F.struct(F.lit(True).alias("success"), F.col("c_name").alias("message"))
+    return rows.select("c_custkey", records.guarded(F.col("c_nationkey") % 4 != 0, done).alias("r")).select("c_custkey", "r.success", "r.message")
+
+
+@_query("SELECT n_nationkey AS id, n_name AS name, n_nationkey // 10 AS page FROM nation")
+def paged_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of a list that comes in pages of ten."""
+    row = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.floor(F.col("n_nationkey") / 10).alias("page"))
+    pages = tables.parquet(spark, sf_dir, "nation").groupBy(F.floor(F.col("n_nationkey") / 10).alias("p")).agg(F.collect_list(row).alias("data"))
+    return choice.pages_of(pages.withColumn("has_more", F.col("p") < 2))
+
+
+@_query("""
+WITH RECURSIVE s AS (SELECT o_orderkey, o_custkey AS n, 0 AS steps FROM orders UNION ALL SELECT o_orderkey, CASE WHEN n % 2 = 0 THEN n // 2 ELSE 3 * n + 1 END, steps + 1 FROM s WHERE steps < 5 AND n <> 1)
+SELECT o_orderkey, arg_max(n, steps) AS n, max(steps) AS steps FROM s GROUP BY o_orderkey
+""")
+def tool_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loop of at most five steps, in which finished rows stay as they are."""
+    live = F.col("n") != 1
+    after = F.when(F.col("n") % 2 == 0, F.floor(F.col("n") / 2)).otherwise(3 * F.col("n") + 1)
+    step = lambda s, k: s.select("o_orderkey", F.when(live, after).otherwise(F.col("n")).alias("n"), (F.col("steps") + live.cast("int")).alias("steps"))
+    return tools.bounded_steps(tables.parquet(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("n"), F.lit(0).alias("steps")), step)
+
+
+@_query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def regenerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user and kind the latest version, as an answer that is generated again replaces the one before."""
+    rows = tables.parquet(spark, sf_dir, "events").select(F.struct("user_id", "event_type").alias("k"), "event_id", "value")
+    return chunks.latest_version(rows, "k", "event_id").select("k.user_id", "k.event_type", "event_id", "value")
+
+
+@_query("SELECT l_orderkey, l_linenumber, (l_quantity + l_linenumber) % 7 AS result FROM lineitem")
+def tool_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calculator as it is registered for SQL."""
+    tools.register(spark)
+    rows = tables.parquet(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.call_function("calc", F.format_string("(%s + %s) %% 7", F.col("l_quantity").cast("string"), F.col("l_linenumber").cast("string"))).alias("result"))
+
+
+@_query("""
+WITH r AS (SELECT event_id, [200, 404, 500, 204, 299][event_id % 5 + 1] AS status, CASE WHEN event_id % 5 = 2 THEN 'oops' ELSE props END AS body FROM events)
+SELECT event_id, CASE WHEN status BETWEEN 200 AND 299 THEN CAST(json_extract_string(body, '$.k') AS BIGINT) END AS k,
+       CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'API error ' || status END AS message, CASE WHEN status = 404 THEN body END AS error_body FROM r
+""")
+def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    status = F.when(k == 0, 200).when(k == 1, 404).when(k == 2, 500).when(k == 3, 204).otherwise(299)
+    rows = tables.parquet(spark, sf_dir, "events").select("event_id", status.alias("status"), F.when(k == 2, F.lit("oops")).otherwise(F.col("props")).alias("body"))
+    return tables.fetched(rows, "k bigint").select("event_id", "data.k", "error.message", F.col("error.body").alias("error_body"))
+
+
+@_query("""
+WITH base AS (SELECT c_custkey AS id, c_name AS title, TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at FROM customer
+              UNION ALL SELECT -n_nationkey - 1, n_name, TIMESTAMP '2024-02-01 00:00:00', TIMESTAMP '2024-02-01 00:00:00' FROM nation)
+SELECT b.id, coalesce(s.s_name, b.title) AS title, b.created_at, CASE WHEN s.s_suppkey IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' ELSE b.updated_at END AS updated_at
+FROM base b LEFT JOIN supplier s ON b.id = s.s_suppkey
+""")
+def record_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creation and update times, given as a parameter on insert and update."""
+    read = lambda n: tables.parquet(spark, sf_dir, n)
+    at = lambda month: F.lit(f"2024-{month:02d}-01 00:00:00").cast("timestamp_ntz")
+    held = records.stamped(read("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title")), at(1))
+    new = records.stamped(read("nation").select((-F.col("n_nationkey").cast("long") - 1).alias("id"), F.col("n_name").alias("title")), at(2))
+    changes = read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    return records.touched(records.update(records.insert(held, new), changes, "id", ["title"]), changes, "id", at(3))

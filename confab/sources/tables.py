@@ -28,6 +28,15 @@ def json_snapshot(spark: SparkSession, path: str, schema: str = MODEL_PAGE) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def fetched(rows: DataFrame, schema: str, status: str = "status", body: str = "body") -> DataFrame:
+    """rows of captured responses with data, the decoded body of a response of 200 to 299, and for any other error, a
+    struct<message, status, body>: the body where it is JSON, else null."""
+    fine = F.col(status).between(200, 299)
+    sound = F.when(F.try_parse_json(F.col(body)).isNotNull(), F.col(body))
+    error = F.struct(F.concat(F.lit("API error "), F.col(status).cast("string")).alias("message"), F.col(status).alias("status"), sound.alias("body"))
+    return rows.withColumn("data", F.when(fine, F.from_json(F.col(body), schema))).withColumn("error", F.when(~fine, error))
+
+
 def decoded_request(body: Column, schema: str = REQUEST) -> Column:
     """struct<request, error>: a body of messages and a model, or what is wrong with it. Elements of messages are not
     checked."""

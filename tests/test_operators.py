@@ -17,8 +17,8 @@ def test_transcripts_keep_order(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
     got = messages.transcripts(df).first().markdown
     assert got.split("\n\n") == [f"**{'User' if k % 2 == 0 else ''}:** m{k}" for k in range(12)]
-    own = messages.transcripts(df, formatter=lambda role, text: text).first().markdown
-    assert own.startswith("m0\n\nm1")
+    own = messages.transcripts(df, formatter=lambda role, text, k: F.concat(k.cast("string"), text)).first().markdown
+    assert own.startswith("0m0\n\n1m1")
 
 
 def test_last(spark):
@@ -49,7 +49,7 @@ def test_costs(spark):
 def batch(spark, files, accept, size, limit, held):
     df = spark.createDataFrame([(1, k, t, s) for k, (t, s) in enumerate(files)], "b long, ord long, media_type string, size long")
     out = admission.admit(df, "b", "ord", F.lit(accept), F.lit(size).cast("long"), F.lit(limit).cast("int"), F.lit(held)).orderBy("ord").collect()
-    assert len({r.code for r in out}) == 1
+    assert len({r.code for r in out}) == 1 and {r.message for r in out} == {admission.MESSAGES.get(out[0].code)}
     return [r.admitted for r in out], out[0].code
 
 
@@ -114,9 +114,35 @@ def test_shown_errors(spark):
 
 
 def test_routes(spark):
-    rows = [("/", True), ("/", False), ("/signin", True), ("/signin/x", False), ("/signupX", False), ("/chat", True), ("/chat", False), ("/_next/x", True), ("/a.json", False), ("/a.js", False), ("/api/a.js", False)]
+    rows = [("/", True), ("/", False), ("/signin", True), ("/signin/x", False), ("/signupX", False), ("/chat", True), ("/chat", False), ("/_next/x", True), ("/a.json", False), ("/a.js", False), ("/api/a.js", False), ("/__clerk/a.js", False), ("/__clerk/a.js", True)]
     got = spark.createDataFrame(rows, "path string, signed_in boolean").select(routes.decision(F.col("path"), F.col("signed_in")).alias("d")).collect()
-    assert [r.d for r in got] == ["redirect:/chat", "protect", "redirect:/chat", "pass", "pass", "pass", "protect", None, "protect", None, "protect"]
+    assert [r.d for r in got] == ["redirect:/chat", "protect", "redirect:/chat", "pass", "pass", "pass", "protect", None, "protect", None, "protect", "protect", "pass"]
+
+
+def test_stamps_and_guards(spark):
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")
+    given = spark.createDataFrame([(1, None), (2, "2020-01-01 00:00:00")], "id long, c string").select("id", F.col("c").cast("timestamp_ntz").alias("created_at"))
+    got = {r.id: (str(r.created_at), str(r.updated_at)) for r in records.stamped(given, now).collect()}
+    assert got == {1: ("2024-05-01 00:00:00",) * 2, 2: ("2020-01-01 00:00:00", "2024-05-01 00:00:00")}
+    later = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    changes = spark.createDataFrame([(2,), (2,), (9,)], "id long")
+    got = {r.id: str(r.updated_at) for r in records.touched(records.stamped(given, now), changes, "id", later).collect()}
+    assert got == {1: "2024-05-01 00:00:00", 2: "2024-06-01 00:00:00"}
+    done = F.struct(F.lit(True).alias("success"), F.lit("ok").alias("message"))
+    out = spark.createDataFrame([(True,), (False,)], "a boolean").select(records.guarded(F.col("a"), done).alias("r")).collect()
+    assert [tuple(r.r) for r in out] == [(True, "ok"), (False, "Unauthorized")]
+
+
+def test_picked_branch(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 3, "c")], "g long, o long, t string")
+    assert {(r.g, r.t) for r in messages.picked_branch(df, "g", "o", F.lit(1)).collect()} == {(1, "b")}
+
+
+def test_lookup_and_registry(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    assert [r.t for r in choice.lookup(df, "id", F.lit(2)).collect()] == ["b"] and choice.lookup(df, "id", F.lit(3)).collect() == []
+    assert set(tools.register(spark)) == {"calc", "weather"}
+    assert spark.sql("SELECT calc('2 ^ 5') AS x, calc('nothing') AS y").first() == (32.0, None)
 
 
 def test_choice(spark):
@@ -128,8 +154,13 @@ def test_choice(spark):
 
 def test_calc(spark):
     assert tools.calculate("(5 + 3) / 2") == 4 and tools.calculate("sqrt(16)") == 4 and tools.calculate("2^10") == 1024 and tools.calculate("1/0") == float("inf")
-    for bad in ("", None, "2 +* 3", "__import__('os')", "a.b", "9^99999", "(" * 2000, "[1]", "True"):
-        assert tools.calculate(bad) is None
+    for bad in ("", None, "2 +* 3", "__import__('os')", "a.b", "(" * 2000, "1)", "(1", "[1]", "True", "2 ** 3", "1_000", "1 2", "sqrt(-1)", "(-8)^0.5", "log(-1)", "sin", "sin()", "sin(1, 2)", "(1, 2)", "log(1, 2, 3)", "1 +", ","):
+        assert tools.calculate(bad) is None, bad
+    inf = float("inf")
+    for text, want in (("0^-1", inf), ("log(8, 1)", inf), ("log(8,2)", 3), ("log(0)", -inf), ("log10(0)", -inf), ("-5 % 3", 1), ("5 % -3", -1), ("5 % 0", 5), ("-2^2", -4), ("2^-1", 0.5), ("2^3^2", 512), ("9^99999", inf), ("(-9)^99999", -inf), ("-1/0", -inf), ("+-+2", -2), ("exp(1) - e", 0), ("1e3 + .5", 1000.5), ("2 - 3 - 4", -5), ("abs(-(1 - 3)) * floor(2.7)", 4)):
+        assert tools.calculate(text) == pytest.approx(want), text
+    assert tools.calculate("1+" * 20_000 + "1") == 20_001 and tools.calculate("(" * 20_000 + "7" + ")" * 20_000) == 7
+    assert str(tools.calculate("0/0")) == "nan"
     got = tools.calculated(spark.createDataFrame([("1+1",), ("1+",), (None,)], "expression string")).collect()
     assert got[0].result == 2 and got[0].error is None
     assert got[1].result is None and got[1].error == 'Couldn\'t evaluate "1+". Is it valid math?'

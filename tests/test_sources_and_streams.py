@@ -19,6 +19,15 @@ def test_requests(spark):
         df.where("b LIKE '%null%'").select(tables.strict_request(F.col("b"))).collect()
 
 
+def test_responses(spark):
+    rows = [(200, '{"k": 1}'), (404, '{"why": "gone"}'), (500, "<html>"), (299, "{"), (503, None), (199, "{}")]
+    got = tables.fetched(spark.createDataFrame(rows, "status int, body string"), "k long").collect()
+    assert [r.data and r.data.k for r in got] == [1, None, None, None, None, None]
+    assert [r.error and (r.error.message, r.error.status, r.error.body) for r in got] == [
+        None, ("API error 404", 404, '{"why": "gone"}'), ("API error 500", 500, None), None, ("API error 503", 503, None), ("API error 199", 199, "{}"),
+    ]
+
+
 def test_prompt_text(spark):
     df = spark.createDataFrame([("a", "b"), (None, "b"), (None, None)], "p string, f string")
     assert [r.x for r in df.select(tables.prompt_text(F.col("p"), F.col("f")).alias("x")).collect()] == ["a", "b", ""]
@@ -80,3 +89,12 @@ def test_usage_log_is_exact(spark, sf_dir):
     for r in catalog.usage_log(spark, sf_dir).collect():
         want = Decimal(costs[r.conv_id, r.turn]).quantize(Decimal("0.000001"), ROUND_HALF_UP)
         assert r.line.endswith(f"→ ${want}")
+
+
+def test_jdbc(spark):
+    """The embedded database that comes with Spark."""
+    url = "jdbc:derby:memory:confab;create=true"
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string").write.format("jdbc").options(url=url, dbtable="notes").save()
+    read = tables.jdbc(spark, url, "notes")
+    assert {r.t for r in read.where("id = 2").collect()} == {"b"}
+    assert "*EqualTo(" in read.where("id = 2")._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,7 @@ def test_trim(spark):
     for raw in (" a b ", "\t\n a b\r ", "  a b 　", "﻿a b﻿"):
         assert one(spark, c, s=("string", raw)) == "a b"
     assert one(spark, c, s=("string", "a")) == "a"
+    assert one(spark, c, s=("string", " a \x85")) == "a \x85" and one(spark, c, s=("string", "a\x85 ")) == "a\x85"
     assert one(spark, c, s=("string", None)) is None
     assert one(spark, c, s=("string", "   ")) == ""
 
@@ -50,6 +51,7 @@ def test_to_fixed_is_exact(spark):
     assert one(spark, c, d=("double", 2**-7)) == "0.007813"
     assert one(spark, c, d=("double", 0.00492)) == "0.004920"
     assert one(spark, c, d=("double", None)) is None
+    assert one(spark, T.to_fixed(9)(F.col("d")), d=("double", 0.0)) == "0.000000000"
 
 
 def test_times(spark):
