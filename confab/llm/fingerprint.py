@@ -1,6 +1,8 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only."""
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,9 +10,10 @@ from pyspark.sql import functions as F
 BINS = 128
 #: A term's weight is cut into parts of at most this much, so that a heavy term does not weigh in one bin only.
 PART = 2
-#: Ranges of document ids between which whole texts are dealt out to find each one's neighbour: one for so many rows,
-#: so that a range's size does not follow the table's, at least and at most so many.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 2000, 512, 1 << 16
+#: Ranges of document ids between which whole texts are dealt out to find each one's neighbour: one for so many rows, at
+#: least and at most so many, as their bounds are held by the driver. Beyond RANGE_ROWS * MOST_RANGES rows (131 million)
+#: ranges grow with the table. Partitions hold about so many ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES, RANGES_A_PARTITION = 2000, 512, 1 << 16, 16
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -27,7 +30,8 @@ def terms(text: Column) -> Column:
 
 
 def parts(text: Column) -> Column:
-    """array<struct<h, w>>: the terms with their weights cut into [0, 2), [2, 4), ... and a hash of term and part.
+    """array<struct<h, w>>: the terms with their weights cut into [0, 2), [2, 4), ... and a hash of term and part, so the
+    samples are only ever drawn for weights of 1 and 2.
 
     Sums of smaller and of larger weights are the sums over the parts, so the generalised Jaccard similarity of
     the parts is that of the terms.
@@ -94,23 +98,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumn("fingerprint", as_text(F.col("sig")))
 
 
-def _bounds(ids: DataFrame, ranges: int | None) -> list[int]:
-    """Ids that cut the table into about equal ranges: MOST_RANGES of them at most, whatever its size."""
-    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, ids.count() // RANGE_ROWS))
+def _bounds(ids: DataFrame, ranges: int | None) -> tuple[list[int], int]:
+    """Ids that cut the table into about equal ranges, in order, an id that fills several ranges several times; and the
+    number of rows."""
+    rows = ids.count()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, rows // RANGE_ROWS))
     at = [k / ranges for k in range(1, ranges)]
     got = ids.agg(F.percentile_approx("d", at, max(10_000, 2 * ranges)).alias("p")).first().p or []
-    return sorted(set(got))
+    return sorted(got), rows
 
 
-def _place(bounds: list[int], d: Column) -> Column:
-    """Number of bounds that are d or less, by bisection."""
+def _range(bounds: list[int], d: Column, h: Column) -> Column:
+    """Number of the range of an id, the largest ids in range 0. The place among the different bounds is found by
+    bisection; the rows of an id that fills several ranges are dealt to these by the hash of their texts, in its order."""
     if not bounds:
         return F.lit(0)
-    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    n = len(bounds)
+    kinds = sorted(set(bounds))
+    upto = [bisect_right(bounds, b) for b in kinds]
+    of = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    cuts, counts, widths = of(kinds), of([0, *upto]), of([0, *(b - a for a, b in zip([0, *upto], upto, strict=False))])
+    n = len(kinds)
     forward = lambda at, step: F.when((at + step <= n) & (F.get(cuts, at + step - 1) <= d), at + step).otherwise(at)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), forward)
+    place = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))]), F.lit(0), forward)
+    found = F.struct(place.alias("at"))
+    at = F.transform(F.array(found), lambda x: F.struct(F.get(counts, x["at"]).alias("below"), F.get(widths, x["at"]).alias("width"), (F.get(cuts, x["at"] - 1) == d).alias("same")))[0]
+    share = h.cast("double") / F.lit(2.0**64) + 0.5
+    deep = F.transform(F.array(at), lambda x: F.lit(len(bounds)) - x["below"] + F.when(x["same"], F.least(F.floor(share * x["width"]), x["width"] - 1)).otherwise(0))[0]
+    return deep.cast("int")
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -119,16 +133,15 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Whole texts move once. Ids are cut into ranges of about equal numbers of rows; a range's first row goes along
     with the range before it as a guest, so every row finds its neighbour within its own range. Ties in id stand in
-    the order of the hash of their texts; null ids come last.
+    the order of the hash of their texts; null ids come last. Rows that share an id are ranges of their own if they are
+    many, cut by that hash. Only rows repeated in full are never parted.
     """
     spark = docs.sparkSession
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(d.alias("d"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    bounds = _bounds(rows.select("d"), ranges)
-    # Range 0 holds the largest ids.
-    rows = rows.withColumn("k", F.lit(len(bounds)) - _place(bounds, F.col("d")))
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    bounds, number = _bounds(rows.select("d"), ranges)
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("k", _range(bounds, F.col("d"), F.col("h")))
     # One row a range: its first.
     firsts = sorted((r.k, r.d, r.h) for r in rows.select("k", "d", "h").groupBy("k").agg(F.max(F.struct("d", F.negative(F.col("h").cast("decimal(20,0)")).alias("o"), "h")).alias("m")).select("k", "m.d", "m.h").collect())
     if not firsts:
@@ -137,7 +150,10 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     guest = spark.createDataFrame(guests, "to int, g_k int, g_d long, g_h long")
     copies = rows.join(F.broadcast(guest), (F.col("k") == F.col("g_k")) & (F.col("d") == F.col("g_d")) & (F.col("h") == F.col("g_h")))
     copies = copies.dropDuplicates(["g_k"]).select("d", "doc_id", "text", F.col("to").alias("k"), "h", F.lit(1).alias("guest"))
-    dealt = rows.withColumn("guest", F.lit(0)).unionByName(copies).repartition("k").withColumn("sig", signature(F.col("text")))
+    dealt = rows.withColumn("guest", F.lit(0)).unionByName(copies)
+    parts = number // (RANGE_ROWS * RANGES_A_PARTITION)
+    more = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (dealt.repartition(parts, "k") if more else dealt.repartition("k")).withColumn("sig", signature(F.col("text")))
     order = Window.partitionBy("k").orderBy("guest", F.col("d").desc(), "h")
     near = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sig", F.lead("sig").over(order))
     return near.where("guest = 0").select("doc_id", "text", "sig", "next_text", "next_sig")

@@ -83,5 +83,17 @@ def test_ranges_do_not_change_neighbours(spark):
     assert {(i, t): n for i, t, n in a} == {x: order[(k + 1) % 300][1] for k, x in enumerate(order)}
 
 
+def test_rows_of_one_id_are_parted(spark):
+    """A third of the rows share an id and a third have none; the ranges follow the hash of their texts."""
+    df = docs(spark, [(None if k % 3 == 0 else 500 if k % 3 == 1 else k, f"text {k}") for k in range(900)])
+    rows = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), "text")
+    order = sorted(rows.collect(), key=lambda r: (-r.d, r.h))
+    got = {r.text: r.next_text for r in fingerprint.neighbours(df, ranges=30).select("text", "next_text").collect()}
+    assert got == {r.text: order[(k + 1) % 900].text for k, r in enumerate(order)}
+    bounds, number = fingerprint._bounds(rows.select("d"), 30)
+    most = rows.groupBy(fingerprint._range(bounds, F.col("d"), F.col("h")).alias("k")).count().agg(F.max("count")).first()[0]
+    assert number == 900 and most < 120
+
+
 def test_words_of_any_script():
     assert WORD.findall("a\x0bb\x85c\u00a0d") == ["a", "b\x85c\u00a0d"]
