@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, row_mapper, stored
@@ -17,8 +17,8 @@ from .words import A, B, WordHash, mix, words_of
 #: probability 0.8, so no two neighbours among them are both shared with probability below 0.512 ** 47 = 3e-14. Sets of
 #: up to K shingles are kept whole, and there two neighbours are always shared.
 K = 48
-#: Documents of an inverted list that are compared in one block.
-BLOCK = 1024
+#: Documents of an inverted list that are compared in one block, and bytes of full sets that are.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Estimates from the union sketch that far (in their standard deviations) below the threshold are dropped.
 MARGIN = 5.0
 #: Up to this many ids or keys are broadcast (8 MB of longs); more are joined by a shuffle.
@@ -153,13 +153,44 @@ def _confirmed(edges: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return rows.mapInArrow(row_mapper(make, ("a", "b", "a_set", "b_set"), schema), "a long, b long")
 
 
-def _dealt(lists: DataFrame) -> DataFrame:
-    """Rows of lists with the pair of blocks (p, q) in which they are compared. Of a list in ``parts`` blocks every
-    two meet once; a short list is one block."""
-    own = F.pmod(F.xxhash64("rep", "key"), F.col("parts")).cast("int").alias("own")
-    rows = lists.withColumn("parts", F.ceil(F.col("cnt") / BLOCK).cast("int")).select("*", own)
+def _dealt(rows: DataFrame, parts: Column, own: str, p: str, q: str) -> DataFrame:
+    """Rows of lists with their block ``own`` and the pair of blocks (p, q) in which they are compared. Of a list in
+    ``parts`` blocks every two meet once; a short list is one block."""
+    rows = rows.withColumn("parts", parts.cast("int")).withColumn(own, F.pmod(F.xxhash64("rep", "key"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("parts", "other")
+    return rows.withColumn(p, F.least(own, "other")).withColumn(q, F.greatest(own, "other")).drop("parts", "other")
+
+
+def _narrowed(hot: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, comp, cnt, keys) of lists that replace those of more than BLOCK documents. hot: (rep, n, comp) of
+    all that stand in such lists.
+
+    A link needs so many common values in two sketches (``_least_estimate``) that, in any one order of all values, two
+    linked documents share one of their first values, as many as may be missing and one. In an order that has frequent
+    values last these lists are short, unless documents hold little but frequent values. A common shingle then brings
+    together only those that share a rare one too. ``keys``: the first values, by which a pair is looked at once.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("comp", pa.int64()), ("value", pa.int64()), ("size", pa.int32())])
+
+    def make():
+        def row(r):
+            values = np.frombuffer(r[3], np.int64)
+            return [(r[0], r[1], r[2], v, len(values)) for v in values.tolist()]
+
+        return row
+
+    rows = hot.join(classes.select("rep", "sketch"), "rep")
+    rows = stored(rows.mapInArrow(row_mapper(make, ("rep", "n", "comp", "sketch"), schema), "rep long, n long, comp long, value long, size int"))
+    frequent = stored(rows.groupBy("value").agg(F.count("*").alias("cnt")).where(F.col("cnt") > BLOCK).select("value", F.lit(1).alias("often")))
+    few = frequent.count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(frequent) if few else frequent, "value", "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.xxhash64("value").alias("h"), "value")))
+    held = F.col("size") - F.ceil(F.col("size") * F.lit(_least_estimate(percent)) - F.lit(1e-9)).cast("int") + 1
+    firsts = rows.groupBy("rep", "n", "comp", "size").agg(order.alias("values")).withColumn("keys", F.transform(F.slice("values", F.lit(1), held), lambda x: x["value"]))
+    rows = stored(firsts.select("rep", "n", "comp", "keys"))
+    posted = rows.select(F.explode("keys").alias("key"), "rep", "n", "comp", "keys")
+    lists = posted.groupBy("key").agg(F.count("*").alias("cnt"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "cnt")
+    return posted.join(lists, "key")
 
 
 def _incidence(sets: list[np.ndarray]) -> np.ndarray:
@@ -227,7 +258,7 @@ _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _survivors(percent: int):
     """Of one block pair of one list: the documents with a partner that the estimate does not rule out. Pairs are
-    looked at only in the first of the lists that they share."""
+    looked at only in the first of the lists that they share, by their ``keys`` where they have them."""
     least = _least_estimate(percent)
 
     def run(table: pa.Table) -> pa.Table:
@@ -240,7 +271,8 @@ def _survivors(percent: int):
         able = _able(sets, x["comp"], least * np.array([len(s) for s in sets]) - 1e-9)
         if len(able) < 2:
             return nothing
-        x, sets = _only(x, able), [sets[k] for k in able]
+        own_keys = [list_keys(s) if k is None else np.array(k, np.int64) for s, k in zip(sets, table.column("keys").to_pylist(), strict=True)]
+        x, sets, own_keys = _only(x, able), [sets[k] for k in able], [own_keys[k] for k in able]
         sizes = np.array([len(s) for s in sets])
         mask = _pairs_to_compare(x, percent)
         i, j = np.nonzero(mask & (_overlaps(sets) >= least * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9))
@@ -249,9 +281,9 @@ def _survivors(percent: int):
         hit = np.zeros(len(sets), bool)
         filled = np.stack([_filled(s) for s in sets])
         none = np.iinfo(np.int64).max
-        keys = np.full((len(sets), K - 1), none)
-        for r, s in enumerate(sets):
-            keys[r, : max(len(s) - 1, 0)] = list_keys(s)
+        keys = np.full((len(sets), K), none)
+        for r, own in enumerate(own_keys):
+            keys[r, : len(own)] = own
         for at in range(0, len(i), 4096):
             a, b = i[at : at + 4096], j[at : at + 4096]
             ok = union_estimates(filled[a], filled[b]) >= least
@@ -302,13 +334,14 @@ def _labelled(rows: DataFrame, components: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) for each row: connected components of documents whose shingle
-    sets have 100 * intersection >= percent * union. ``percent`` is 76 or more.
+    sets have 100 * intersection >= percent * union. ``percent`` is 76 or more; below, too many pairs would share no list.
 
     Documents with equal sets are one class, represented by the least id. Classes meet in inverted lists of pairs of
     neighbouring retained values. First each class is compared with one member of each of its lists, chosen by a hash,
     which joins nearly all that belongs together without pairing whole lists. Lists that still hold several components
     are then compared in blocks: only pairs across components, estimates from the union sketches first, full sets for
-    what they leave. Every link reported or relied on was confirmed on full sets, and every pair across components that
+    what they leave. Lists of more than BLOCK documents are replaced by those of their rarer values (_narrowed), and
+    blocks are bounded in documents and in bytes. Every link reported or relied on was confirmed on full sets, and every pair across components that
     shares a list was ruled out by size, by estimate or by full sets.
 
     Texts that are null, empty or without words have no shingles and link with nothing, each its own component. A row
@@ -316,6 +349,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     with different texts are labelled by their own class. An empty table gives an empty result; other columns are not
     read.
     """
+    if percent < 76:
+        raise ValueError("percent has to be 76 or more")
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     rows = stored(sketches(source, shingle))
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
@@ -336,12 +371,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     mixed = stored(mixed)
     few = mixed.count() <= BROADCAST_IDS
-    open_ = stored(_dealt(open_.join(F.broadcast(mixed) if few else mixed, "key", "left_semi")))
+    open_ = stored(open_.join(F.broadcast(mixed) if few else mixed, "key", "left_semi"))
+    hot = stored(open_.where(F.col("cnt") > BLOCK).select("rep", "n", "comp").distinct())
+    open_ = open_.where(F.col("cnt") <= BLOCK).withColumn("keys", F.lit(None).cast("array<long>"))
+    if not hot.isEmpty():
+        open_ = open_.unionByName(_narrowed(hot, classes, percent))
+    open_ = stored(_dealt(open_, F.ceil(F.col("cnt") / BLOCK), "own", "p", "q"))
     with_sketch = open_.join(classes.select("rep", "sketch"), "rep")
     left = with_sketch.groupBy("key", "p", "q").applyInArrow(_survivors(percent), "key long, rep long, n long, comp long, own int, p int, q int")
     left = stored(left)
     sets = _sets(source, left.select(F.col("rep").alias("id")).distinct(), shingle)
-    more = left.join(sets, "rep").groupBy("key", "p", "q").applyInArrow(_block_links(percent), "a long, b long")
+    # The window holds a block pair, so twice BLOCK rows at most.
+    size = F.sum(F.col("n") * 8).over(Window.partitionBy("key", "p", "q"))
+    left = _dealt(left, F.ceil(size / BLOCK_BYTES), "fine", "fine_p", "fine_q")
+    more = left.join(sets, "rep").groupBy("key", "p", "q", "fine_p", "fine_q").applyInArrow(_block_links(percent), "a long, b long")
     more = stored(more.distinct())
     if not more.isEmpty():
         found = connected_components(linked.union(more))

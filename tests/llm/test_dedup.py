@@ -33,6 +33,7 @@ def corpus(seed=0, n=60):
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, k, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 2000)
     texts = corpus()
     got = near_dup.near_duplicates(docs(spark, list(texts.items())), shingle=k).collect()
     want = components(texts, k)
@@ -54,6 +55,31 @@ def test_a_hub_joins_copies_that_are_not_linked_to_each_other(spark):
     assert got == components(texts, 2)
 
 
+def test_hot_lists_are_replaced_by_those_of_rare_values(spark, monkeypatch):
+    """A common line in all documents, short ones among them, and near copies of some."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(6)
+    line = [f"common{k}" for k in range(6)]
+    texts = []
+    for _ in range(90):
+        own = line + [f"w{rng.randrange(5000)}" for _ in range(rng.choice([0, 1, 2, 4, 9, 30, 70]))]
+        texts.append(" ".join(own))
+        if rng.random() < 0.5:
+            own = list(own)
+            own[rng.randrange(len(own))] = "other"
+            texts.append(" ".join(own))
+    texts = dict(enumerate(texts))
+    seen = []
+    narrowed = near_dup._narrowed
+    monkeypatch.setattr(near_dup, "_narrowed", lambda *a: seen.append(1) or narrowed(*a))
+    for k in (2, 5):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, list(texts.items())), shingle=k).collect()}
+        assert got == components(texts, k)
+    assert seen
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(docs(spark, ["a"]), percent=70)
+
+
 def test_near_duplicate_edge_cases(spark):
     rows = [(5, None), (6, ""), (7, " \n"), (8, "One"), (9, "one"), (3, "one two"), (4, "ONE\ttwo"), (None, "one two"), (10, "É x"), (11, "é x"), (2, "z " * 40000), (1, "z " * 30000), (12, "a b c"), (12, "a b c"), (13, "a b d")]
     df = docs(spark, rows).withColumnRenamed("lang", "kept").withColumnRenamed("n_chars", "sig")
