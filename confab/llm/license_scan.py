@@ -15,60 +15,45 @@ from pyspark.sql import functions as F
 from .common import row_mapper, stored
 
 #: Notices by which licences are told: identifier, then short notices in their usual words. Fixed values.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-        "SPDX-License-Identifier: Apache-2.0",
     ),
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-        "SPDX-License-Identifier: MIT",
     ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-        "SPDX-License-Identifier: GPL-2.0-or-later",
-        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "LGPL-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
-        "SPDX-License-Identifier: LGPL-3.0-or-later",
-        "SPDX-License-Identifier: LGPL-3.0-only",
     ),
     "LGPL-2.1": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-        "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "AGPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "SPDX-License-Identifier: AGPL-3.0-or-later",
-        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
     "ISC": (
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-        "SPDX-License-Identifier: ISC",
     ),
-    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
     ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
@@ -78,13 +63,45 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "GPL-1.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version.",
+    ),
+    "LGPL-2.0": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "GFDL-1.2": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation",
+    ),
+    "GFDL-1.3": (
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation",
+    ),
+    "MPL-1.1": (
+        'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/',
+    ),
+    "Zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
     "CC0-1.0": (
         "Dedicated to the public domain under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     ),
 }
+#: Licences that are told by their full texts or identifiers only, and those whose identifiers say "-only" or "-or-later".
+OTHERS = ("0BSD", "Artistic-1.0-Perl", "BSD-1-Clause", "BSD-4-Clause", "MIT-0", "NCSA", "PostgreSQL", "PSF-2.0", "WTFPL", "X11", "curl")
+VERSIONED = ("AGPL", "GFDL", "GPL", "LGPL")
+
+
+def identifiers(name: str) -> list[str]:
+    """The lines by which files name their licence."""
+    ends = ("-only", "-or-later") if name.startswith(VERSIONED) else ("",)
+    return [f"SPDX-License-Identifier: {name}{end}" for end in ends]
+
+
+TEMPLATES: dict[str, tuple[str, ...]] = {name: (*NOTICES.get(name, ()), *identifiers(name)) for name in (*NOTICES, *OTHERS)}
+#: Names of files that hold the licence of their directory, whatever else is in them. Fixed values.
+FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([-._][^/]*)?$"
 #: A notice holds at least one of these words.
-_SIGN = re.compile(r"licen[cs]|redistribution|permission|copyright|free software|public domain|\bcc0\b|\bcc[ -]by\b", re.I)
+_SIGN = re.compile(r"licen[cs]|redistribution|permission|copyright|free software|public domain|warranty|\bcc0\b|\bcc[ -]by\b", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 _TOKEN = re.compile(r"[A-Za-z0-9]+(?:[.+-][A-Za-z0-9]+)*")
 #: Least cosine of a notice to a template, and share of a text's words in notices that makes it a licence file.
@@ -127,6 +144,7 @@ class Matcher:
                 self.posted.setdefault(t, []).append((k, x / norm))
         #: Numbers of words of the templates, and by sign word where it stands in a template of how many words.
         self.lengths = [len(_TERM.findall(t.lower())) for ts in templates.values() for t in ts]
+        self.longest = max(self.lengths, default=0)
         self.anchors: dict[str, set[tuple[int, int]]] = {}
         for t in (t for ts in templates.values() for t in ts):
             starts, _ = _tokens(t)
@@ -163,9 +181,10 @@ def remembered(matcher: Matcher):
 
 def notices(text: str | None, matcher: Matcher, least: float = LEAST, best=None) -> list[tuple[float, str, int]]:
     """(cosine, licence, words) of the notices of a whole text, in order; no two share a word. Windows are lines with a
-    sign word, each alone and joined with the lines after it up to a blank one (eight at most, the length of the longest
-    header here), and, wherever lines break, the words about a sign word that stand where a template with this word has
-    its own. Of windows that overlap the better counts."""
+    sign word, each alone and joined with the lines after it up to a blank one or twice the words of the longest
+    template, beyond which cosines only fall, and, wherever lines break, the words about a sign word that stand where a
+    template with this word has its own. Of windows that overlap the better counts. Every template has sign words, so
+    a text without any has no notice."""
     if not text or not _SIGN.search(text):
         return []
     best = best or matcher.best
@@ -174,10 +193,11 @@ def notices(text: str | None, matcher: Matcher, least: float = LEAST, best=None)
         if _SIGN.search(line):
             top = (0.0, "", 0, 0)
             end = at - 1
-            joined = ""
-            for j in range(i, min(i + 8, len(lines))):
-                if not lines[j].strip():
+            joined, words_in = "", 0
+            for j in range(i, len(lines)):
+                if not lines[j].strip() or words_in > 2 * matcher.longest:
                     break
+                words_in += len(lines[j].split())
                 joined = f"{joined} {lines[j]}" if joined else lines[j]
                 end += len(lines[j]) + 1
                 score, name = best(joined)
@@ -224,9 +244,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     """(doc_id, path, own_licence, score, n_notices, licence, from_dir) for each row.
 
     own_licence: the licence whose full text the whole text is, else the best notice of it, null without one; score is
-    that cosine. A full text, or a text of which half the words or more are notices, is a licence file and holds for its
-    directory; of several in one directory the one with the higher score
-    (then the smaller id) does. licence: the own one, else that of the nearest directory at or above the file's that
+    that cosine. A full text, a text of which half the words or more are notices, or one with a notice in a file that is
+    named like a licence file, is one and holds for its directory; of several in one directory the one with the higher
+    score (then the smaller id) does. licence: the own one, else that of the nearest directory at or above the file's that
     has a licence file; from_dir: that directory, null for own ones. Only distinct directories and their ancestors are
     joined, so a directory with very many files costs one row there.
 
@@ -256,7 +276,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
         return row
 
     own = source.mapInArrow(row_mapper(make, ("i", "t", "path"), schema), "doc_id long, path string, own_licence string, score double, n_notices int, is_file boolean")
-    own = stored(own.withColumn("dir", directory(F.col("path"))))
+    named = F.col("own_licence").isNotNull() & F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    own = stored(own.withColumn("is_file", F.col("is_file") | named).withColumn("dir", directory(F.col("path"))))
     rank = F.struct(F.negative("score").alias("s"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "own_licence")
     held = own.where("is_file AND dir IS NOT NULL").groupBy(F.col("dir").alias("above")).agg(F.min(rank)["own_licence"].alias("dir_licence"))
     dirs = own.where("own_licence IS NULL AND dir IS NOT NULL").select("dir").distinct()
