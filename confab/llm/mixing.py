@@ -66,7 +66,8 @@ def _cut(ranked: DataFrame, room: DataFrame, nearest: bool) -> DataFrame:
         sums = sums.withColumn("upto", F.col("base") + F.sum("s").over(to_here))
         ends = F.min(F.when(F.col("upto") > F.col("room"), F.struct("bin", (F.col("upto") - F.col("s")).alias("base"))))
         found = sums.groupBy("source", "room").agg(ends.alias("e"), F.max("upto").alias("whole"))
-        edge = found.select("source", "room", F.col("e.base").alias("base"), F.col("e.bin").alias("e_bin"), "whole")
+        # A row a source; kept, so that no plan holds all levels and passes.
+        edge = stored(found.select("source", "room", F.col("e.base").alias("base"), F.col("e.bin").alias("e_bin"), "whole"))
         if level == 1:
             over = edge
         inner = edge.where("e_bin IS NOT NULL").withColumnRenamed("source", "e_source").select("e_source", "e_bin")
