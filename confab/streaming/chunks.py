@@ -1,8 +1,10 @@
 """Streams of message chunks (message_id, seq, type, text, finish_reason), folded into messages."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 #: Reasons for which a message ends. Fixed values.
 FINISH = ("stop", "length", "error", "other", "content-filter", "tool-calls")
@@ -32,8 +34,38 @@ def latest_version(messages: DataFrame, key: str, version: str) -> DataFrame:
     return top.select(key, "m.*")
 
 
+def finished(stream: DataFrame, wait_ms: int | None = None) -> DataFrame:
+    """(message_id, text, finish_reason), once a message: when its finish chunk and all before it have come, or, as far as
+    they have, when ``wait_ms`` pass without a new one, if given. State is held for open messages only, each chunk of
+    them once, in any order of arrival. A query that waits always has another batch to run, so it needs a trigger by
+    time."""
+
+    def step(key, frames, state):
+        held = dict(zip(*state.get[:2], strict=True)) if state.exists else {}
+        end, reason = state.get[2:] if state.exists else (None, None)
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                held[int(r.seq)] = (r.text or "") if r.type == "text" else ""
+                if r.type == "finish" and (end is None or r.seq >= end):
+                    end, reason = int(r.seq), r.finish_reason
+        if state.hasTimedOut or end is not None and sum(k < end for k in held) == end:
+            if state.exists:
+                state.remove()
+            text = "".join(held[k] for k in sorted(held))
+            yield pd.DataFrame({"message_id": [key[0]], "text": [text], "finish_reason": pd.Series([reason], dtype=object)})
+        else:
+            state.update((list(held), list(held.values()), end, reason))
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
+
+    rows = stream.select("message_id", "seq", "type", "text", "finish_reason").groupBy("message_id")
+    state = "seqs array<int>, texts array<string>, end int, reason string"
+    waits = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return rows.applyInPandasWithState(step, "message_id string, text string, finish_reason string", state, "append", waits)
+
+
 def write_finished(stream: DataFrame, path: str, checkpoint: str, on_batch=None):
-    """Starts a query that keeps the folded messages of the stream: each update of a batch is written as a version.
+    """Starts a query that keeps the finished messages of the stream, each written once, with the batch for a version.
     on_batch(frame, batch_id) runs once a batch, such as a cost report."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -41,4 +73,5 @@ def write_finished(stream: DataFrame, path: str, checkpoint: str, on_batch=None)
         if on_batch:
             on_batch(batch, batch_id)
 
-    return fold(stream).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = finished(stream).writeStream.outputMode("append").foreachBatch(store)
+    return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

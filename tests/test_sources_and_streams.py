@@ -64,16 +64,24 @@ def test_fold(spark):
 
 
 def test_stream(spark, tmp_path):
-    spark.createDataFrame(rows()[:3], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
     seen = []
     out, at = str(tmp_path / "out"), str(tmp_path / "at")
-    read = lambda: spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    chunks.write_finished(read(), out, at, lambda b, i: seen.append(i)).awaitTermination()
-    spark.createDataFrame(rows()[3:], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
-    chunks.write_finished(read(), out, at).awaitTermination()
-    got = {r.message_id: (r.text, r.finish_reason) for r in chunks.latest_version(spark.read.parquet(out), "message_id", "version").collect()}
-    assert got == {"a": ("hello", "stop"), "b": ("x", None), "c": ("", "error")}
-    assert len(seen) == 1
+
+    def arrive(some):
+        spark.createDataFrame(some, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+        read = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        chunks.write_finished(read, out, at, lambda b, i: seen.append(i)).awaitTermination()
+        return sorted((r.message_id, r.text, r.finish_reason) for r in spark.read.parquet(out).collect())
+
+    # the finish of d comes before one of its texts
+    first = [*rows()[:3], ("d", 1, "text", "ve", None), ("d", 2, "finish", None, "length")]
+    assert arrive(first) == []
+    done = [("a", "hello", "stop"), ("c", "", "error"), ("d", "five", "length")]
+    assert arrive([*rows()[3:], ("d", 0, "text", "fi", None)]) == done
+    # b is still open
+    assert arrive([("e", 0, "finish", None, "stop")]) == [*done, ("e", "", "stop")]
+    kept = {r.message_id: r.text for r in chunks.latest_version(spark.read.parquet(out), "message_id", "version").collect()}
+    assert kept == {"a": "hello", "c": "", "d": "five", "e": ""} and len(seen) == 3
 
 
 def test_chunks_round_trip(spark, sf_dir):
