@@ -81,14 +81,14 @@ def count_models(words: tuple[Counter, Counter]) -> dict[str, float]:
     seen = [g for g in set(grams[0]) | set(grams[1]) if grams[0][g] + grams[1][g] >= LEAST]
     # continuations[m]: sequences of m context characters and a next one -> distinct left neighbours
     left: dict[str, int] = Counter()
-    current = set(seen)
+    current, done = set(seen), set()
     while current:
-        shorter = set()
+        # A sequence is met at the start of a word and amid others; it is one left neighbour.
+        done |= current
         for g in current:
             if len(g) > 1:
                 left[g[1:]] += 1
-                shorter.add(g[1:])
-        current = shorter
+        current = {g[1:] for g in current if len(g) > 1} - done
     total: dict[str, int] = defaultdict(int)
     kinds: dict[str, int] = defaultdict(int)
     for g, n in left.items():

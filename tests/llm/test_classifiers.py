@@ -26,6 +26,43 @@ def test_forest_learns_and_flat_walk_equals_recursion():
     assert np.allclose(forest.raw(x[2000:2050]), slow)
 
 
+def plain_forest(x, y, trees, depth, rate, bins, least, ridge):
+    """Log odds of the rows by Newton boosting: each node tries all features and cuts, one after the other."""
+    cuts = [sorted(set(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower"))) for c in x.T]
+    p0 = (y.sum() + 0.5) / (len(y) + 1)
+    raw = np.full(len(y), np.log(p0 / (1 - p0)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        score = lambda r: g[r].sum() ** 2 / (h[r].sum() + ridge)
+        grown = raw.copy()
+
+        def grow(rows, level):
+            best = (1e-6, None)
+            for f in range(x.shape[1]) if level < depth else ():
+                for cut in cuts[f]:
+                    a, b = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    if len(a) >= least and len(b) >= least and score(a) + score(b) - score(rows) > best[0] + 1e-12:
+                        best = (score(a) + score(b) - score(rows), (a, b))
+            if best[1] is None:
+                grown[rows] += -rate * g[rows].sum() / (h[rows].sum() + ridge)
+            else:
+                grow(best[1][0], level + 1)
+                grow(best[1][1], level + 1)
+
+        grow(np.arange(len(y)), 0)
+        raw = grown
+    return raw
+
+
+def test_forest_equals_a_plain_one():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(240, 3)), 2)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * rng.normal(size=240) > 0.4).astype(float)
+    shape = dict(trees=6, depth=3, rate=0.3, bins=12, least=8, ridge=1.0)
+    assert np.allclose(boosting.fit(x, y, **shape).raw(x), plain_forest(x, y, **shape), atol=1e-9)
+
+
 def test_forest_without_classes():
     assert boosting.fit(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
     assert boosting.fit(np.ones((4, 3)), np.ones(4)).score(np.zeros((1, 3)))[0] > 0.8
@@ -99,6 +136,53 @@ def test_models_share_their_backoff():
     assert r["..."] == 0.0 and r[""] == 0.0
 
 
+def test_ratios_equal_plain_kneser_ney():
+    """The formulas, sequence by sequence: class counts over a shared distribution of continuations."""
+    from collections import Counter
+
+    rng = random.Random(5)
+    words = tuple(Counter({"^" + "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) + "$": rng.randrange(1, 6) for _ in range(60)}) for _ in (0, 1))
+    order, d, dc = toxicity.ORDER, toxicity.DISCOUNT, toxicity.CLASS_DISCOUNT
+    counts = [Counter(), Counter()]
+    for c in (0, 1):
+        for w, n in words[c].items():
+            for i in range(1, len(w)):
+                counts[c][w[max(0, i - order) : i + 1]] += n
+    seen = {g for g in counts[0] | counts[1] if counts[0][g] + counts[1][g] >= toxicity.LEAST}
+    every = {g[k:] for g in seen for k in range(len(g))}
+    neighbours = lambda g: len({h[0] for h in every if h[1:] == g})
+
+    def shared(g):
+        if not g:
+            return 1 / 256
+        ends = [h for h in every if h[:-1] == g[:-1] and neighbours(h)]
+        total = sum(map(neighbours, ends))
+        return (max(neighbours(g) - d, 0) + d * len(ends) * shared(g[1:])) / total if total else shared(g[1:])
+
+    def likelihood(c, g):
+        ends = [h for h in seen if h[:-1] == g[:-1] and counts[c][h]]
+        total = sum(counts[c][h] for h in ends)
+        below = shared(g[1:])
+        return (max(counts[c][g] - dc, 0) + sum(min(counts[c][h], dc) for h in ends) * below) / total if total else below
+
+    got = toxicity.count_models(words)
+    assert set(got) == seen
+    for g in rng.sample(sorted(seen), 40):
+        assert got[g] == pytest.approx(np.log(likelihood(1, g) / likelihood(0, g))), g
+
+
+def test_samples_are_bounded_where_rows_share_an_id(spark, monkeypatch):
+    rows = [(k % 6, f"text {k} " * (k % 7 + 1)) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    sizes = []
+    fit, count = boosting.fit, toxicity.fit
+    monkeypatch.setattr(boosting, "fit", lambda x, y: sizes.append((len(x), y.sum())) or fit(x, y))
+    monkeypatch.setattr(toxicity, "fit", lambda r: sizes.append((len(r), sum(c for _, _, c in r))) or count(r))
+    quality.train(docs(spark, rows), labels, most=20)
+    toxicity.train(docs(spark, rows), labels, size=20 * (toxicity.ROW_BYTES + 60))
+    assert all(20 < n <= 60 and 0 < ones < n for n, ones in sizes) and sizes[0][0] <= 40
+
+
 def test_equal_classes_have_no_ratio():
     from collections import Counter
 
