@@ -71,7 +71,7 @@ def test_columns(stages):
 
 
 def test_empty_and_odd_documents(spark, tmp_path):
-    rows = [(1, None), (2, ""), (None, "no id here"), (3, "a b c d e f g " * 20), (3, "a b c d e f g " * 20), (4, "long text " * 30000)]
+    rows = [(1, None), (2, ""), (None, "no id here"), (3, "a b c d e f g " * 20), (3, "a b c d e f g " * 20), (3, "another text of this id " * 20), (4, "long text " * 30000), (5, " " * 1_200_000 + "end"), (6, " \n")]
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for k, data in enumerate((rows, [])):
@@ -107,5 +107,10 @@ def test_bounded_samples_are_full_at_every_size(spark):
     assert 47 <= bounded_sample(df, F.col("id"), F.lit(1), 50).count() <= 50
     got = [r["count"] for r in bounded_sample(df, F.col("id"), F.lit(1), 20, by="g").groupBy("g").count().collect()]
     assert len(got) == 2 and all(19 <= n <= 20 for n in got)
+    # copies of one key that exceed the bound and come first are passed over
+    h = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    first = spark.range(1000).orderBy(h).first().id
+    hot = spark.range(1000).union(spark.range(3000).select(F.lit(first)))
+    assert 30 <= bounded_sample(hot, F.col("id"), F.lit(1), 50).count() <= 50
     copies = spark.range(400_000).withColumn("id", F.lit(3))
     assert bounded_sample(copies, F.col("id"), F.lit(1), 50).count() == 0
