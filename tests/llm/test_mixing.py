@@ -155,7 +155,7 @@ def test_inclusion_goes_with_size(spark):
     """Over seeds, documents of one source are taken as often as their own inclusion probability says."""
     sizes = [4, 16, 64] * 80
     df = docs(spark, [f"{k} " + "a " * (sizes[k] - 1) for k in range(240)] + ["b " * 50] * 12, source=lambda k: "a" if k < 240 else "b").cache()
-    hits, seeds = dict.fromkeys(sizes, 0), 8
+    hits, seeds = dict.fromkeys(sizes, 0), 5
     for seed in range(seeds):
         got = mixing.mix(df, weights=(1, 5), seed=seed).where("source = 'a'").collect()
         whole = int(got[0].target / got[0].source_size)
@@ -166,7 +166,7 @@ def test_inclusion_goes_with_size(spark):
     want = {s: min(1, scale * s**mixing.POWER) for s in hits}
     assert want[4] < want[16] < want[64]
     for s in hits:
-        assert abs(hits[s] / (80 * seeds) - want[s]) < 0.08
+        assert abs(hits[s] / (80 * seeds) - want[s]) < 0.1
 
 
 def test_documents_are_repeated(spark):
