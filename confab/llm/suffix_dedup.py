@@ -17,7 +17,7 @@ from .words import Spans, WordHash, words_of
 GRAM = 16
 #: Contexts of one gram that are sorted in one task. Grams that have more, such as those at the edges of a passage that
 #: very many documents hold, are compared window by window in sums that combine before rows are exchanged.
-SORTED = 512
+SORTED = 4096
 #: Suffixes that are sorted at once: those of whole grams, up to a gram more.
 CHUNK = 16_384
 #: Texts that a task remembers to have read.
