@@ -50,9 +50,10 @@ def sparse_suffixes(words: list[bytes], least: int, gram: int, hashes: WordHash)
 
 
 def _suffix_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(gram, context, doc_id, text_hash, start, windows, left) of all documents, about two suffixes in
-    (least - gram + 2) words."""
-    fields = [("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("left", pa.int32())]
+    """(gram, context, doc_id, text_hash, starts, windows, left) of all documents, about two suffixes in
+    (least - gram + 2) words. A text that repeats its words, as a line that stands in it again and again, has suffixes of
+    one context at every repeat: they are one row, with all their starts in order."""
+    fields = [("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("starts", pa.list_(pa.int32())), ("windows", pa.int32()), ("left", pa.int32())]
     schema = pa.schema(fields)
 
     @lean
@@ -63,11 +64,15 @@ def _suffix_table(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 part, made = batch.slice(at, 64), []
                 for i, t, x in rows_of(part, "i", "t", "x"):
                     g, c, s, w, left = sparse_suffixes(words_of(t), least, gram, hashes)
-                    made.append((g.view(np.int64), c.view(np.int64), np.full(len(g), i, np.int64), np.full(len(g), x, np.int64), *(v.astype(np.int32) for v in (s, w, left))))
-                columns = [pa.array(np.concatenate(x)) for x in zip(*made, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    made.append((np.full(len(g), len(made)), g.view(np.int64), c.view(np.int64), np.full(len(g), i, np.int64), np.full(len(g), x, np.int64), *(v.astype(np.int32) for v in (s, w, left))))
+                columns = [np.concatenate(x) for x in zip(*made, strict=True)]
+                order = np.lexsort(columns[2::-1])
+                row, g, c, i, x, s, w, left = (v[order] for v in columns)
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])])[: len(row)])
+                starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(s))
+                yield pa.RecordBatch.from_arrays([*(pa.array(v[new]) for v in (g, c, i, x)), starts, *(pa.array(v[new]) for v in (w, left))], schema=schema)
 
-    return docs.select("i", "t", "x").mapInArrow(run, "gram long, context long, doc_id long, text_hash long, start int, windows int, left int")
+    return docs.select("i", "t", "x").mapInArrow(run, "gram long, context long, doc_id long, text_hash long, starts array<int>, windows int, left int")
 
 
 def _with_texts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -209,18 +214,20 @@ def _sorted_matches(contexts: DataFrame, least: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(doc_id, text_hash, start, end, first_doc): word spans [start, end) whose windows of ``least`` words all stand in
-    other documents too, with the least document that holds them; spans of one document may touch or overlap.
+    """(doc_id, text_hash, starts, windows, first, part): contexts of each document with windows of ``least`` words that
+    stand in other documents too, from each start on: where part is null, all ``windows``, and ``first`` is the least
+    document that holds them; else the windows k of part, array<struct<k, first>>.
 
     A suffix is kept where windows pick their minimiser, with the words that these windows cover for its context. Equal
     contexts are combined before rows are exchanged, so a passage in very many documents costs a row a task. A gram that
     only one document holds has no repeat, and where all suffixes of a gram have the same context, this repeats as a
     whole. The other contexts are read again from one text each, sorted and compared with their neighbours, and matches
     are extended left and right on their words (matched_windows). Grams of more than SORTED contexts have their windows
-    compared by hash instead, with the same result: no group of occurrences is brought together.
+    compared by hash instead, with the same result: no group of occurrences is brought together. What is found meets one
+    row of each document that holds the context, however often the document repeats it.
     """
     suffixes = stored(_suffix_table(docs, least, gram))
-    place = F.min(F.struct("doc_id", "text_hash", "start", "windows", "left")).alias("at")
+    place = F.min(F.struct("doc_id", "text_hash", F.col("starts")[0].alias("start"), "windows", "left")).alias("at")
     contexts = suffixes.groupBy("gram", "context").agg(place, F.max("doc_id").alias("hi"))
     contexts = contexts.select("gram", "context", "at", F.col("at.doc_id").alias("lo"), "hi")
     grams = contexts.groupBy("gram").agg(F.min("lo").alias("g_lo"), F.max("hi").alias("g_hi"), F.count("*").alias("kinds")).where("g_lo < g_hi").select("gram", "kinds")
@@ -237,10 +244,7 @@ def repeated_windows(docs: DataFrame, least: int, gram: int) -> DataFrame:
         part = windows.join(shared, ["gram", "window"]).groupBy("gram", "context").agg(F.collect_list(F.struct("k", "first")).alias("part"))
         found = found.unionByName(part.withColumn("first", F.lit(None).cast("long")))
 
-    hits = suffixes.join(found, ["gram", "context"])
-    full = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("windows") - 1 + least).alias("end"), F.col("first").alias("first_doc")))
-    each = F.transform("part", lambda x: F.struct((F.col("start") + x["k"]).alias("start"), (F.col("start") + x["k"] + least).alias("end"), x["first"].alias("first_doc")))
-    return hits.select("doc_id", "text_hash", F.inline(F.when(F.col("part").isNull(), full).otherwise(each)))
+    return suffixes.join(found, ["gram", "context"]).select("doc_id", "text_hash", "starts", "windows", "first", "part")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -265,26 +269,30 @@ def repeated_passages(docs: DataFrame, least: int = 50, gram: int = GRAM, id_col
     empty table gives an empty result; other columns are not read.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    spans = repeated_windows(source.withColumn("x", F.xxhash64("t")), least, gram)
-    by_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end", "first_doc")).alias("spans"))
+    held = repeated_windows(source.withColumn("x", F.xxhash64("t")), least, gram)
+    by_doc = held.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("starts", "windows", "first", "part")).alias("held"))
     schema = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("first", pa.bool_()), ("first_doc_ids", pa.list_(pa.int64())), ("text_hash", pa.int64())])
 
     def make():
         def row(r):
+            spans = []
+            for x in r[2]:
+                each = [(0, x["windows"], x["first"])] if x["part"] is None else [(y["k"], 1, y["first"]) for y in x["part"]]
+                spans += [(s + k, s + k + n - 1 + least, first_doc) for s in x["starts"] for k, n, first_doc in each]
+            spans.sort()
             for first in (True, False):
-                own = [x for x in r[2] if (x["first_doc"] == r[0]) == first]
-                own.sort(key=lambda x: x["start"])
+                own = [x for x in spans if (x[2] == r[0]) == first]
                 at = 0
-                for s, e in _merged([(x["start"], x["end"]) for x in own]):
+                for s, e in _merged([x[:2] for x in own]):
                     ids = set()
-                    while at < len(own) and own[at]["start"] < e:
-                        ids.add(own[at]["first_doc"])
+                    while at < len(own) and own[at][0] < e:
+                        ids.add(own[at][2])
                         at += 1
                     yield r[0], s, e, first, sorted(ids), r[1]
 
         return row
 
-    return by_doc.mapInArrow(row_mapper(make, ("doc_id", "text_hash", "spans"), schema), "doc_id long, start_word int, end_word int, first boolean, first_doc_ids array<long>, text_hash long")
+    return by_doc.mapInArrow(row_mapper(make, ("doc_id", "text_hash", "held"), schema), "doc_id long, start_word int, end_word int, first boolean, first_doc_ids array<long>, text_hash long")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -161,6 +161,31 @@ def test_repeat_edge_cases(spark):
     assert suffix_dedup.repeated_passages(docs(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("most", [4096, 1])
+def test_texts_that_repeat_a_line_meet_others_once(spark, most, monkeypatch):
+    """Lines of 1, 2, 7 and 60 words again and again, in several documents, alone and between other words."""
+    monkeypatch.setattr(suffix_dedup, "SORTED", most)
+    rng = random.Random(4)
+    lines = [[f"l{n}.{k}" for k in range(n)] for n in (1, 2, 7, 60)]
+    texts = []
+    for k in range(24):
+        words = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([0, 5, 60]))]
+        words += lines[k % 4] * rng.choice([30, 90, 300]) + [f"v{rng.randrange(3000)}" for _ in range(rng.choice([0, 3, 60]))]
+        texts.append(" ".join(words))
+    texts = dict(enumerate(texts))
+    rows = docs(spark, [*texts.items(), (3, texts[3])])
+    got = suffix_dedup.repeated_passages(rows).collect()
+    want = repeats(texts)
+    assert {(r.doc_id, r.start_word, r.end_word, r.first, min(r.first_doc_ids)) for r in got} == want
+    assert len(got) == len(want) > 20
+
+    def met(times):
+        rows = docs(spark, ["a b " * times] * 6).selectExpr("doc_id AS i", "text AS t", "xxhash64(text) AS x")
+        return suffix_dedup.repeated_windows(rows, 50, 16).count()
+
+    assert 0 < met(1000) == met(100) <= 6 * 4
+
+
 def test_sorted_neighbours_equal_brute_force():
     rng = random.Random(2)
     least, gram = 9, [b"g1", b"g2", b"g3"]
